@@ -28,7 +28,7 @@ from mediaspark.llm.common import drop, stage
 
 CAPACITY, END = 1024, 2
 #: Known word encodings that a worker holds at most.
-CACHE = 600_000
+CACHE = 1_200_000
 _BREAK = re.compile(r"(?<=\S) (?=\S)")
 _ODD = re.compile(r"^ | $| \s|\s ")
 
@@ -56,39 +56,47 @@ class Encoder:
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         letters = _byte_letters()
         self.letters = {b: letters[b] for b in range(256)}
-        self.known = _Known(self)
+        self.marks = {c: self.direct(c) for c in ".,"}
+        self.line = self.direct("\n")
+        self.known, self.bare = _Known(self, " "), _Known(self, "")
 
     def direct(self, text: str) -> bytes:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def word(self, letters: str) -> bytes:
-        """One run of letters after a space."""
+    def word(self, letters: str, lead: str) -> bytes:
+        """One run of letters after a lead of a space or nothing."""
         mapped = letters if letters.isascii() else "".join(map(self.letters.__getitem__, letters.encode()))
-        return np.array([t.id for t in self.whole.model.tokenize(self.letters[32] + mapped)], "<u4").tobytes()
-
-    def piece(self, piece: str) -> bytes:
-        """A piece after its space."""
-        if piece.isalpha() and max(piece) < "ɐ":
-            return self.word(piece)
-        if piece[-1] in ".," and piece[:-1].isalpha() and max(piece) < "ɐ":
-            return self.known[piece[:-1]] + self.direct(piece[-1])
-        return self.direct(" " + piece)
+        return np.array([t.id for t in self.whole.model.tokenize(lead and self.letters[32] + mapped or mapped)], "<u4").tobytes()
+
+    def piece(self, piece: str, known: "_Known") -> bytes:
+        """A piece after its lead; a mark at its end and a line break inside it are tokens of their own."""
+        plain = piece[:-1].isalpha() and max(piece) < "\u0250"
+        if plain and piece[-1].isalpha():
+            return self.word(piece, known.lead)
+        if plain and piece[-1] in self.marks:
+            return known[piece[:-1]] + self.marks[piece[-1]]
+        left, line, right = piece.partition("\n")
+        if left and right and not left[-1].isspace() and not right[0].isspace():
+            return known[left] + self.line + self.bare[right]
+        return self.direct(known.lead + piece)
 
     def encode(self, text: str) -> bytes:
         if any(s in text for s in self.special):
             return self.direct(text)
         pieces = _BREAK.split(text) if _ODD.search(text) else text.split(" ")
-        return self.direct(pieces[0]) + b"".join(map(self.known.__getitem__, pieces[1:]))
+        return self.bare[pieces[0]] + b"".join(map(self.known.__getitem__, pieces[1:]))
 
 
 class _Known(dict):
-    def __init__(self, encoder: Encoder):
+    """Encodings of pieces after one lead, made as they are asked for."""
+
+    def __init__(self, encoder: Encoder, lead: str):
         super().__init__()
-        self.encoder = encoder
+        self.encoder, self.lead = encoder, lead
 
     def __missing__(self, piece: str) -> bytes:
-        got = self.encoder.piece(piece)
-        if len(piece) < 64:
+        got = self.encoder.piece(piece, self)
+        if len(piece) < 64 and "\n" not in piece:
             if len(self) >= CACHE:
                 self.clear()
             self[piece] = got
