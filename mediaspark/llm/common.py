@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructType
 
 #: Bytes of text that the numpy steps hold at once; a longer text is a slice of its own.
 SLICE_BYTES = 2 << 20
@@ -63,20 +64,30 @@ def hot_join(big: DataFrame, small: DataFrame, key: str, count: str, total: int)
     """big left join small on key, where small has one row a key and `count`, the rows that big has of it.
 
     Keys with more than total / HOT_SHARE rows, fewer than HOT_SHARE by count, are broadcast; their rows
-    of big then take part in the shuffled join under keys of their own and spread over all tasks.
+    of big then take part in the shuffled join under keys of their own and spread over all tasks. So do rows
+    without a key, which match nothing.
     """
     rest = [c for c in small.columns if c != key]
     hot = small.filter(F.col(count) > max(1, total // HOT_SHARE)).select(
         F.col(key).alias("_hot_key"), F.struct(*rest).alias("_hot"))
-    rows = big.join(F.broadcast(hot), big[key].eqNullSafe(F.col("_hot_key")), "left")
+    rows = big.join(F.broadcast(hot), big[key] == F.col("_hot_key"), "left")
     rows = rows.withColumn("_cold_key", F.when(F.col("_hot").isNull(), F.col(key)))
-    rows = rows.withColumn("_salt", F.when(F.col("_hot").isNotNull(), F.monotonically_increasing_id()).otherwise(-1))
-    cold = small.select(F.col(key).alias("_key"), F.struct(*rest).alias("_cold"), F.lit(-1).cast("long").alias("_none"))
-    joined = rows.join(cold, (rows["_cold_key"] == cold["_key"]) & (rows["_salt"] == cold["_none"]), "left")
+    spread = F.col("_hot").isNotNull() | F.col(key).isNull()
+    rows = rows.withColumn("_slot", F.when(spread, F.monotonically_increasing_id()).otherwise(F.xxhash64(key)))
+    cold = small.select(F.col(key).alias("_key"), F.struct(*rest).alias("_cold"), F.xxhash64(key).alias("_at"))
+    joined = rows.join(cold, (rows["_cold_key"] == cold["_key"]) & (rows["_slot"] == cold["_at"]), "left")
     got = F.coalesce("_hot", "_cold")
     return joined.select(*[big[c] for c in big.columns], *[got[c].alias(c) for c in rest])
 
 
+def with_fields(df: DataFrame, **kinds: str) -> StructType:
+    """The schema of df and further fields."""
+    out = StructType(list(df.schema.fields))
+    for name, kind in kinds.items():
+        out = out.add(name, DataType.fromDDL(kind))
+    return out
+
+
 def crc_mod(column: Column, n: int) -> Column:
     """crc32 of a value as text, modulo n."""
     return F.pmod(F.crc32(column.cast("string").cast("binary")), F.lit(n))
