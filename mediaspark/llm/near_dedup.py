@@ -39,8 +39,8 @@ VALUES = TREES * LEVELS
 FIRST_TREES, NEAR = 6, 8
 #: How far below the limit an estimate may be; more than four times its standard deviation.
 SLACK = 0.17
-#: Rounds that confirm one candidate a component; then all that are left.
-ROUNDS = 5
+#: Rounds that confirm one candidate a component; then all that are left. So are all where they are at most EASY times as many.
+ROUNDS, EASY = 4, 3
 
 
 @dataclass(frozen=True)
@@ -174,7 +174,9 @@ def _settle(pairs: DataFrame, docs: DataFrame, limit: Limit, roots: DataFrame |
         chosen = open_
         if k < ROUNDS:
             ends = open_.select(F.explode(F.array("ra", "rb")).alias("_end"), F.struct("alike", "a", "b", "ra", "rb").alias("_p"))
-            chosen = ends.groupBy("_end").agg(F.max("_p").alias("_p")).select("_p.a", "_p.b", "_p.ra", "_p.rb").distinct()
+            best, best_at = stage(ends.groupBy("_end").agg(F.max("_p").alias("_p")).select("_p.a", "_p.b", "_p.ra", "_p.rb").distinct(), "best")
+            if open_.count() > EASY * best.count():
+                chosen = best
         tried, tried_at = stage(confirm(chosen.select("a", "b", "ra", "rb"), texts, limit), "tried")
         hooks = components(tried.filter("linked").select(F.col("ra").alias("a"), F.col("rb").alias("b")))
         if roots is None:
@@ -183,6 +185,9 @@ def _settle(pairs: DataFrame, docs: DataFrame, limit: Limit, roots: DataFrame |
             up = hooks.select(F.col("node").alias("root"), F.col("root").alias("_up"))
             roots = roots.join(up, "root", "left").select("node", F.coalesce("_up", "root").alias("root")).unionByName(hooks)
         roots, _ = stage(roots, "roots")
+        if chosen is open_:
+            drop(spark, open_at, tried_at)
+            break
         rest, rest_at = stage(open_.select("a", "b", "alike").join(tried.select("a", "b"), ["a", "b"], "left_anti"), "candidates")
         drop(spark, path, open_at, tried_at)
         left, path = rest, rest_at
