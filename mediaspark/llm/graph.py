@@ -9,12 +9,14 @@ from mediaspark.llm.common import drop, stage
 
 
 def _flat(hooks: DataFrame) -> tuple[DataFrame, str]:
-    """hooks (node, root) with root < node: each node with the end of its chain, by pointer jumping."""
+    """hooks (node, root) with root < node: each node with the end of its chain, by pointer jumping, two steps a pass."""
     spark = hooks.sparkSession
     now, path = stage(hooks, "hooks")
     while True:
         above = now.select(F.col("node").alias("root"), F.col("root").alias("_next"))
-        nxt, new = stage(now.join(above, "root", "left").select("node", F.coalesce("_next", "root").alias("root"), F.col("_next").isNotNull().alias("_moved")), "hooks")
+        further = now.select(F.col("node").alias("_next"), F.col("root").alias("_last"))
+        jumped = now.join(above, "root", "left").join(further, "_next", "left")
+        nxt, new = stage(jumped.select("node", F.coalesce("_last", "_next", "root").alias("root"), F.col("_last").isNotNull().alias("_moved")), "hooks")
         moved = not nxt.filter("_moved").isEmpty()
         drop(spark, path)
         now, path = nxt.drop("_moved"), new

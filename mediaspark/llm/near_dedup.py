@@ -6,9 +6,10 @@ a long common prefix are neighbours, and how deep two neighbours must agree foll
 region is: a row is compared with the rows next to it, which in a crowded region share more levels. Neighbours
 whose whole signatures agree well enough are candidates; links are confirmed on the full sets.
 
-A first pass compares direct neighbours in some trees; its candidates are confirmed best first, so that a group
-of n copies costs about n confirmations. A second pass compares NEAR rows in all trees, and only those that
-aren't in one component yet. No group is ever gathered or paired off in full.
+A first pass compares direct neighbours in FIRST_TREES trees and confirms its candidates, so that a group of n
+copies costs at most FIRST_TREES * n confirmations. A second pass compares NEAR rows in all trees, but only
+those that aren't in one component yet, and confirms best first. No group is ever gathered or paired off in
+full.
 
 With 16 trees a link of similarity s has no tree with a common prefix of LEAST levels with probability
 (1 - s ** LEAST) ** 16: under 1e-8 for 0.85.
@@ -36,11 +37,11 @@ from mediaspark.llm.graph import components
 TREES, LEVELS, LEAST = 16, 6, 2
 VALUES = TREES * LEVELS
 #: Trees of the first pass; rows compared in the second.
-FIRST_TREES, NEAR = 6, 8
+FIRST_TREES, NEAR = 3, 8
 #: How far below the limit an estimate may be; more than four times its standard deviation.
 SLACK = 0.17
-#: Rounds that confirm one candidate a component; then all that are left. So are all where they are at most EASY times as many.
-ROUNDS, EASY = 4, 3
+#: Rounds of the second pass that confirm one candidate a component; then all that are left. So are all where they are at most EASY times as many.
+ROUNDS, EASY = 3, 4
 
 
 @dataclass(frozen=True)
@@ -159,20 +160,20 @@ def _rooted(pairs: DataFrame, roots: DataFrame | None) -> DataFrame:
     return pairs.filter("ra <> rb")
 
 
-def _settle(pairs: DataFrame, docs: DataFrame, limit: Limit, roots: DataFrame | None) -> DataFrame | None:
+def _settle(pairs: DataFrame, docs: DataFrame, limit: Limit, roots: DataFrame | None, rounds: int) -> DataFrame | None:
     """roots (node, root) after confirming pairs (a, b, alike), best first."""
     spark = docs.sparkSession
     left, path = stage(pairs, "candidates")
     if left.isEmpty():
         return roots
     texts, texts_at = stage(packed_texts(docs, left.select(F.explode(F.array("a", "b")).alias("id")).distinct()), "texts")
-    for k in range(ROUNDS + 1):
+    for k in range(rounds + 1):
         open_, open_at = stage(_rooted(left, roots), "open")
         if open_.isEmpty():
             drop(spark, open_at)
             break
         chosen = open_
-        if k < ROUNDS:
+        if k < rounds:
             ends = open_.select(F.explode(F.array("ra", "rb")).alias("_end"), F.struct("alike", "a", "b", "ra", "rb").alias("_p"))
             best, best_at = stage(ends.groupBy("_end").agg(F.max("_p").alias("_p")).select("_p.a", "_p.b", "_p.ra", "_p.rb").distinct(), "best")
             if open_.count() > EASY * best.count():
@@ -204,10 +205,10 @@ def link(docs: DataFrame, limit: Limit = Limit()) -> DataFrame:
     classes, _ = stage(classes.filter(F.col("id").isNotNull()), "classes")
     at_least = limit.num / limit.den - SLACK
     plain = classes.select("id", F.col("id").alias("root"), "signature")
-    roots = _settle(neighbours(plain, FIRST_TREES, 1, at_least), docs, limit, None)
+    roots = _settle(neighbours(plain, FIRST_TREES, 1, at_least), docs, limit, None, 0)
     if roots is not None:
         plain = classes.select("id", "signature").join(roots.select(F.col("node").alias("id"), "root"), "id", "left").select("id", F.coalesce("root", "id").alias("root"), "signature")
-    roots = _settle(neighbours(plain, TREES, NEAR, at_least), docs, limit, roots)
+    roots = _settle(neighbours(plain, TREES, NEAR, at_least), docs, limit, roots, ROUNDS)
     named = classes.select("set_id", "id", "n_rows")
     if roots is None:
         named = named.withColumn("_root", F.col("id"))
