@@ -11,14 +11,11 @@ from pyspark.sql import functions as F
 
 from mediaspark.llm import common, decontaminate, exact_dedup, language_id, near_dedup, packing
 
-#: Least score with which a language is accepted.
-LEAST_SCORE = 0.5
-
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language: those without a letter, or of no language with a score of LEAST_SCORE, go. Learned from docs itself."""
+    """Documents with a language: those that are rejected as of none (without text or without a letter) go. Learned from docs itself."""
     scored = language_id.predict(docs, language_id.train(docs))
-    return scored.filter((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    return scored.filter(F.col("lang_pred") != language_id.UNKNOWN).select(*docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
