@@ -31,6 +31,10 @@ BUCKETS, DEPTH, WIDTHS, FILTERS, PREFIX = 1 << 15, 12, (1, 2, 3), 12, 5
 WIDEST = max(WIDTHS)
 #: Documents of each label to learn from at most, and passes over them.
 MOST, EPOCHS = 3000, 8
+#: Texts of an update; a small sample is passed over until there were so many updates.
+BATCH, UPDATES = 24, 600
+#: Words left out in a pass, and where the sums of squared gradients of the embeddings begin.
+DROP, START = 0.3, 1e-3
 CUT = 0.3
 
 
@@ -113,11 +117,15 @@ def fit(docs: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, langs: li
     if held.all() or not (labels[~held].any() and (labels[~held] == 0).any()):
         held[:] = False
     par = [embed, taps, bias, out, np.array([out_bias])]
-    acc = [np.full_like(p, 1e-6) for p in par]
+    # So large a start that a word seen once moves little: what many texts share is learned first.
+    acc = [np.full_like(p, START if k == 0 else 1e-6) for k, p in enumerate(par)]
     own = np.flatnonzero(~held)
-    for epoch in range(epochs):
-        for batch in np.array_split(rng.permutation(own), max(1, len(own) // 24)):
-            part = [docs[i] for i in batch]
+    for _ in range(max(epochs, -(-UPDATES * BATCH // max(1, len(own))))):
+        for batch in np.array_split(rng.permutation(own), max(1, len(own) // BATCH)):
+            part = []
+            for i in batch:  # a third of the words is left out, anew each time
+                keep = rng.random(len(docs[i][0])) >= DROP
+                part.append((docs[i][0][keep], docs[i][1][keep]))
             off = np.concatenate([[0], np.cumsum([len(a) for a, _ in part])]).astype(np.int64)
             whole, stem = (np.concatenate([x[k] for x in part]) if off[-1] else np.zeros(0, np.int32) for k in (0, 1))
             rows, first, place = _rows(whole, stem, off, par[0])
