@@ -9,7 +9,7 @@ hash. A quarter of the sample is left out of the fit; on it the scores are calib
 for each language. Languages are told from the words themselves (naive Bayes over the hashed words); the
 threshold of the told language is mapped to CUT, so that score >= CUT is the decision in every language.
 
-Defined results: null or empty text, and text without words, scores what the network says of no words; where
+Defined results: null or empty text, and text without words, scores 0; where
 no labelled row can be learned from, every score is 0. Rows that repeat each get their score. Of several
 labels for a doc_id the largest counts. Other columns pass through, but for columns named score and
 predicted, which are replaced.
@@ -102,7 +102,7 @@ def language(model: Model, whole: np.ndarray, off: np.ndarray) -> np.ndarray:
 def scores(model: Model, whole: np.ndarray, stem: np.ndarray, off: np.ndarray) -> np.ndarray:
     p = 1 / (1 + np.exp(-np.clip(model.slope * raw_scores(model, whole, stem, off) + model.shift, -30, 30)))
     t = model.thresholds[language(model, whole, off)]
-    return np.where(p < t, CUT * p / t, CUT + (1 - CUT) * (p - t) / (1 - t))
+    return np.where(np.diff(off) > 0, np.where(p < t, CUT * p / t, CUT + (1 - CUT) * (p - t) / (1 - t)), 0.0)
 
 
 def fit(docs: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, langs: list[str | None], epochs: int = EPOCHS, seed: int = 11) -> Model | None:
