@@ -29,7 +29,7 @@ def normal_album(c: Column) -> Column:
     for note in ("deluxe", "remastered", "expanded"):
         for a, b in ("()", "[]"):
             out = F.replace(out, F.lit(f"{a}{note}{b}"), F.lit(""))
-    return squeeze(F.regexp_replace(out, r"[^\w\s]", ""))
+    return squeeze(F.regexp_replace(out, r"[^\w\s]", " "))
 
 
 def normal_value(c: Column) -> Column:
@@ -42,9 +42,8 @@ def normal_pair(c: Column) -> Column:
 
 
 def clean_name(c: Column) -> Column:
-    """Without site tags in front and one media or archive extension at the end."""
-    out = F.regexp_replace(c, r"(?i)^\s*(\[[^\]]*\.(com|net|org)\]|www\.\S+\s+-)\s*", "")
-    return strip(F.regexp_replace(out, r"(?i)\.(mp3|flac|m4a|ogg|wav|zip|rar|7z)$", ""))
+    """Without site tags and one media or archive extension at the end."""
+    return strip(F.regexp_replace(F.regexp_replace(c, P.SITE_TAGS, ""), P.MEDIA_END, ""))
 
 
 def year_in_name(c: Column) -> Column:
@@ -52,9 +51,9 @@ def year_in_name(c: Column) -> Column:
 
 
 def split_year(c: Column) -> Column:
-    """struct(year, rest): the first year 1900..2030 in round brackets, else in square ones, else standing alone, and the text without it."""
+    """struct(year, rest): the first year 1900..2030 in round brackets, else in square ones, else between separators, and the text without it."""
     found = None
-    for pattern in (r"(?s)^(.*?)\((\d{4})\)(.*)$", r"(?s)^(.*?)\[(\d{4})\](.*)$", r"(?s)^(.*?)\b(\d{4})\b(.*)$"):
+    for pattern in P.YEAR_FORMS:
         year = nullif_empty(F.regexp_extract(c, pattern, 2)).cast("int")
         rest = strip(F.concat(F.regexp_extract(c, pattern, 1), F.regexp_extract(c, pattern, 3)))
         one = F.when(year.between(1900, 2030), F.struct(year.alias("year"), rest.alias("rest")))
@@ -123,5 +122,62 @@ def video_metadata(name: Column) -> Column:
     cut = F.when(year.isNotNull(), F.regexp_replace(clean, F.concat(F.lit(r"[.\s]"), year, F.lit(r"[.\s]?.*$")), F.lit(""))).otherwise(clean)
     title = squeeze(F.regexp_replace(cut, r"[._]", " "))
     kind = F.when(name.rlike(r"(?i)s\d{1,2}e\d{1,2}|season|\d{1,2}x\d{1,2}"), "tv").otherwise("movie")
-    ok = name.rlike(P.VIDEO_MARKS) & ~name.rlike(P.NEGATIVE) & (F.length(title) >= 2)
+    ok = name.rlike(P.VIDEO_MARKS) & ~name.rlike(P.SKIP) & (F.length(title) >= 2)
     return F.when(ok, F.struct(kind.alias("type"), title.alias("title"), year.cast("int").alias("year")))
+
+
+def audio_metadata(name: Column) -> Column:
+    """struct(artist, title, year) of a name with a mark of audio, split at its first ' - '; else null."""
+    year = nullif_empty(F.regexp_extract(name, r"\b(19[5-9]\d|20[0-2]\d)\b", 1))
+    clean = F.regexp_replace(F.regexp_replace(name, r"\[.*?\]", " "), r"\(.*?\)", " ")
+    clean = F.regexp_replace(clean, r"(?i)[.\s](flac|mp3|320|aac|lossless|cd\s*rip|web).*$", "")
+    clean = squeeze(F.regexp_replace(clean, r"[._]", " "))
+    parts = F.split(clean, " - ", 2)
+    artist, album = F.trim(F.get(parts, F.lit(0))), F.trim(F.get(parts, F.lit(1)))
+    album = F.when(year.isNotNull(), F.trim(F.regexp_replace(album, F.concat(F.lit(r"\b"), year, F.lit(r"\b")), F.lit("")))).otherwise(album)
+    ok = name.rlike(P.AUDIO_MARKS) & ~name.rlike(P.SKIP) & (F.length(artist) > 1) & (F.length(album) > 1)
+    return F.when(ok, F.struct(artist.alias("artist"), album.alias("title"), year.cast("int").alias("year")))
+
+
+def album_parts(name: Column) -> Column:
+    """struct(artist, title, year) of an album's name by the basic rules: clean, take the year, drop formats, sources and groups, split at the first dash."""
+    taken = split_year(clean_name(name))
+    n = taken["rest"]
+    for pattern in P.ALBUM_NOISE:
+        n = F.regexp_replace(n, pattern, "")
+    n = squeeze(n)
+    artist, title = (strip(nullif_empty(F.regexp_extract(n, P.ARTIST_TITLE, k))) for k in (1, 2))
+    for pattern in P.TITLE_ENDS:
+        title = F.regexp_replace(title, pattern, "")
+    return F.struct(artist.alias("artist"), title.alias("title"), taken["year"].alias("year"))
+
+
+def truncate_answer(answer: Column, fields: Column, name: Column) -> Column:
+    """The first fields of an answer joined again, without years that the name doesn't hold."""
+    parts = F.transform(F.slice(F.split(answer, r"\|"), F.lit(1), fields), strip)
+    return F.array_join(F.filter(parts, lambda p: ~p.rlike(r"^[0-9]{4}$") | F.contains(name, p)), " | ")
+
+
+def json_answer(answer: Column) -> Column:
+    """The first JSON object that an answer holds, as text: the whole of it without its thoughts, a fenced block, or braces without nesting; else null."""
+    clean = strip(F.regexp_replace(F.regexp_replace(answer, r"(?s)<think>.*?</think>", ""), r"(?s)<reasoning>.*?</reasoning>", ""))
+    fenced = F.regexp_extract(clean, r"(?s)```(?:json)?\s*(\{[^`]*\})\s*```", 1)
+    tries = [clean, fenced, F.regexp_extract(clean, r"(?s)(\{[^{}]*\})", 1), F.regexp_extract(answer, r"(?s)(\{[^{}]*\})", 1)]
+    return F.coalesce(*[F.when(F.try_parse_json(t).isNotNull() & (t != ""), t) for t in tries])
+
+
+def name_variants(name: Column) -> Column:
+    """The distinct variants of an artist's name that differ from it: case, article, punctuation, and and &."""
+    low = F.lower(name)
+    forms = [F.upper(name), low, F.initcap(name), F.when(low.startswith("the "), F.substring(name, 5, 1 << 20)).otherwise(F.concat(F.lit("The "), name)),
+             F.regexp_replace(name, r"['\-.]", ""), F.replace(name, F.lit("&"), F.lit("and")), F.when(F.contains(low, F.lit(" and ")), F.regexp_replace(name, r"(?i)\band\b", "&"))]
+    return F.array_sort(F.array_distinct(F.filter(F.array(*forms), lambda v: v.isNotNull() & (v != name))))
+
+
+def label_json(kind: Column, title: Column, artist: Column, year: Column) -> Column:
+    """The label of a match as JSON; years of 0 and empty artists are left out, other kinds are null."""
+    y, a = F.when(year != 0, year).alias("year"), F.when(artist != "", artist).alias("artist")
+    movie = F.to_json(F.struct(F.lit("video/movie").alias("type"), title.alias("title"), y))
+    series = F.to_json(F.struct(F.lit("video/series").alias("type"), title.alias("series_title"), y))
+    album = F.to_json(F.struct(F.lit("audio/album").alias("type"), title.alias("album_name"), a, y))
+    return F.when(kind == "movie", movie).when(kind == "tv", series).when(kind == "album", album)

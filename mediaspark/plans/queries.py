@@ -230,7 +230,7 @@ def m13_normal_names(spark, sf_dir):
     return view(spark, sf_dir, "content").select("content_id", T.normal_title(n).alias("title"), T.year_in_name(n).alias("year"), F.trim(T.normal_value(n)).alias("value"), T.normal_pair(n).alias("pair"))
 
 
-_YEARS = [(r"\((\d{4})\)", r"(?s)^(.*?)\((\d{4})\)(.*)$"), (r"\[(\d{4})\]", r"(?s)^(.*?)\[(\d{4})\](.*)$"), (r"\b(\d{4})\b", r"(?s)^(.*?)\b(\d{4})\b(.*)$")]
+_YEARS = list(zip([r"\((\d{4})\)", r"\[(\d{4})\]", r"(?:^|[\s\-_.])(\d{4})(?:[\s\-_.\[]|$)"], P.YEAR_FORMS))
 
 
 @query("SELECT content_id, CASE " + " ".join(f"WHEN try_cast({_get('name', p)} AS INT) BETWEEN 1900 AND 2030 THEN try_cast({_get('name', p)} AS INT)" for p, _ in _YEARS) + " END AS year, CASE "
@@ -402,3 +402,184 @@ def s7_loader_routing(spark, sf_dir):
     ends = F.expr("CASE page_id % 7 WHEN 0 THEN '.tar.gz' WHEN 1 THEN '.zip' WHEN 2 THEN '.torrent' WHEN 3 THEN '.TAR' WHEN 4 THEN '.txz' ELSE '' END")
     rows = _table(spark, sf_dir, "pages").select("page_id", F.concat("url", ends).alias("url"))
     return rows.select("page_id", fs.archive_stem(F.col("url")).alias("stem"), fs.loader(F.col("url")).alias("loader"))
+
+
+# -- metadata of names --------------------------------------------------------------------------
+
+def _replaced(expression: str, patterns: list[str], by: str = "") -> str:
+    for p in patterns:
+        expression = f"regexp_replace({expression}, {_s(p)}, {_s(by)}, 'g')"
+    return expression
+
+
+_CLEANED = _STRIP(_replaced("name", [P.SITE_TAGS, P.MEDIA_END]))
+_TAKEN = ("CASE " + " ".join(f"WHEN try_cast({_get('cn', p)} AS INT) BETWEEN 1900 AND 2030 THEN try_cast({_get('cn', p)} AS INT)" for p, _ in _YEARS) + " END",
+          "CASE " + " ".join(f"WHEN try_cast({_get('cn', p)} AS INT) BETWEEN 1900 AND 2030 THEN {_STRIP(f'regexp_extract(cn, {_s(w)}, 1) || regexp_extract(cn, {_s(w)}, 3)')}" for p, w in _YEARS) + " ELSE cn END")
+
+
+@query(f"""WITH c1 AS (SELECT content_id, {_CLEANED} AS cn FROM content), c2 AS (SELECT content_id, {_TAKEN[0]} AS year, {_TAKEN[1]} AS rest FROM c1),
+c3 AS (SELECT content_id, year, {_SQUEEZE(_replaced('rest', P.ALBUM_NOISE))} AS n FROM c2)
+SELECT content_id, {_STRIP(_get('n', P.ARTIST_TITLE, 1))} AS artist, {_replaced(_STRIP(_get('n', P.ARTIST_TITLE, 2)), P.TITLE_ENDS)} AS title, year FROM c3""", "content")
+def m9_album_parts(spark, sf_dir):
+    return view(spark, sf_dir, "content").select("content_id", T.album_parts(F.col("name")).alias("p")).select("content_id", "p.artist", "p.title", "p.year")
+
+
+_Y29 = _get("name", r"\b(19[5-9]\d|20[0-2]\d)\b")
+_BARE = _replaced("name", [r"\[.*?\]", r"\(.*?\)"], " ")
+_VCUT = _replaced(_BARE, [r"(?i)[.\s](1080p|720p|2160p|4k|bluray|bdrip|webrip|web-dl|hdtv|dvdrip|x264|x265|hevc).*$"])
+_VTITLE = _SQUEEZE(_replaced(f"CASE WHEN {_Y29} IS NOT NULL THEN regexp_replace({_VCUT}, '[.\\s]' || {_Y29} || '[.\\s]?.*$', '') ELSE {_VCUT} END", ["[._]"], " "))
+
+
+@query(f"""SELECT content_id, CASE WHEN {_has('name', r'(?i)s\d{1,2}e\d{1,2}|season|\d{1,2}x\d{1,2}')} THEN 'tv' ELSE 'movie' END AS type, {_VTITLE} AS title, {_Y29}::INT AS year
+FROM content WHERE {_has('name', P.VIDEO_MARKS)} AND NOT {_has('name', P.SKIP)} AND length({_VTITLE}) >= 2""", "content")
+def m6_video_metadata(spark, sf_dir):
+    rows = view(spark, sf_dir, "content").select("content_id", T.video_metadata(F.col("name")).alias("p")).filter("p IS NOT NULL")
+    return rows.select("content_id", "p.type", "p.title", "p.year")
+
+
+_ACLEAN = _SQUEEZE(_replaced(_replaced(_BARE, [r"(?i)[.\s](flac|mp3|320|aac|lossless|cd\s*rip|web).*$"]), ["[._]"], " "))
+
+
+@query(f"""WITH c AS (SELECT content_id, {_Y29} AS y, {_ACLEAN} AS n FROM content WHERE {_has('name', P.AUDIO_MARKS)} AND NOT {_has('name', P.SKIP)}),
+s AS (SELECT content_id, y, trim(split_part(n, ' - ', 1)) AS artist, trim(substr(n, strpos(n, ' - ') + 3)) AS album FROM c WHERE contains(n, ' - ')),
+t AS (SELECT content_id, artist, CASE WHEN y IS NOT NULL THEN trim(regexp_replace(album, '\\b' || y || '\\b', '', 'g')) ELSE album END AS title, y::INT AS year FROM s)
+SELECT content_id, artist, title, year FROM t WHERE length(artist) > 1 AND length(title) > 1""", "content")
+def m7_audio_metadata(spark, sf_dir):
+    rows = view(spark, sf_dir, "content").select("content_id", T.audio_metadata(F.col("name")).alias("p")).filter("p IS NOT NULL")
+    return rows.select("content_id", "p.artist", "p.title", "p.year")
+
+
+@query(f"""SELECT content_id, array_to_string(list_filter(list_transform(string_split(name || ' | 1999 | 2024 | more', '|')[1:3], lambda x: trim(x)), lambda x: NOT regexp_matches(x, '^[0-9]{{4}}$') OR contains(name, x)), ' | ') AS answer FROM content""", "content")
+def m5_truncated_answer(spark, sf_dir):
+    return view(spark, sf_dir, "content").select("content_id", T.truncate_answer(F.concat("name", F.lit(" | 1999 | 2024 | more")), F.lit(3), F.col("name")).alias("answer"))
+
+
+@query("""SELECT id, CASE WHEN id % 5 = 0 THEN '{"a":1}' WHEN id % 5 = 1 THEN '{"b":2}' WHEN id % 5 = 2 THEN '{"c":3}' WHEN id % 5 = 3 THEN NULL ELSE '{"e":5}' END AS json FROM answers""", "answers")
+def m20_json_answers(spark, sf_dir):
+    told = F.expr("""CASE id % 5 WHEN 0 THEN '{"a":1}' WHEN 1 THEN '<think>hm {x}</think> ```json\n{"b":2}\n``` ok' WHEN 2 THEN 'The answer is {"c":3}, I think' WHEN 3 THEN 'no {json} here' ELSE '<reasoning>long</reasoning>{"e":5}' END""")
+    return view(spark, sf_dir, "answers").select("id", T.json_answer(told).alias("json"))
+
+
+@query("""WITH p AS (SELECT DISTINCT title AS name FROM titles), v AS (SELECT name, unnest([upper(name), lower(name), array_to_string(list_transform(string_split(name, ' '), lambda w: upper(w[1:1]) || lower(w[2:])), ' '), 'The ' || name]) AS variant FROM p)
+SELECT DISTINCT name, variant FROM v WHERE variant <> name""", "titles")
+def m27_name_variants(spark, sf_dir):
+    rows = view(spark, sf_dir, "titles").select(F.col("title").alias("name")).distinct()
+    return rows.select("name", F.explode(T.name_variants(F.col("name"))).alias("variant"))
+
+
+@query(f"""WITH e AS (SELECT content_id, lower(regexp_extract(regexp_extract(path, '([^/]*)$', 1), '(?s)^.+\\.([^.]*)$', 1)) AS x, size FROM files),
+g AS (SELECT content_id, count(*) AS n, sum(size) AS total, count(*) FILTER (x IN {_in(P.RULE_AUDIO)}) AS a, count(*) FILTER (x IN {_in(P.RULE_VIDEO)}) AS v, count(*) FILTER (x IN {_in(P.RULE_SOFTWARE)}) AS s,
+  count(*) FILTER (x IN {_in(P.RULE_BOOK)}) AS b, count(*) FILTER (x IN ('jpg', 'jpeg')) AS j, count(*) FILTER (x = 'iso') AS iso, count(*) FILTER (x = 'pdf') AS pdf, coalesce(sum(size) FILTER (x IN {_in(P.RULE_VIDEO)}), 0) AS vs FROM e GROUP BY content_id)
+SELECT content_id, CASE WHEN {_has('name', P.RULE_ADULT)} AND (v > 0 OR j > 0) THEN 'porn' WHEN a::DOUBLE / n > 0.5 AND a >= 3 AND v = 0 THEN 'music'
+  WHEN v > 0 AND vs > total * 0.7::DOUBLE AND ({_has('name', P.RULE_MOVIE)} OR (v <= 3 AND vs > 524288000)) THEN 'movie' WHEN s > 0 AND ({_has('name', P.RULE_APP)} OR iso > 0) THEN 'software'
+  WHEN b > 0 AND (b::DOUBLE / n > 0.5 OR (b >= 3 AND contains(lower(name), 'ebook')) OR (b = 1 AND pdf = 1 AND total < 104857600)) THEN 'book'
+  WHEN a::DOUBLE / n > 0.3 AND a >= 3 THEN 'music' WHEN v > 0 AND v::DOUBLE / n > 0.3 THEN 'movie' ELSE 'other' END AS label FROM content JOIN g USING (content_id)""", "content", "files")
+def m25_rule_labels(spark, sf_dir):
+    from mediaspark.operators import rule_labels
+
+    return rule_labels.label(view(spark, sf_dir, "content"), view(spark, sf_dir, "files"))
+
+
+@query("""SELECT gt_id, CASE type WHEN 'movie' THEN '{"type":"video/movie","title":"' || title || '"' || coalesce(',"year":' || year, '') || '}' WHEN 'tv' THEN '{"type":"video/series","series_title":"' || title || '"' || coalesce(',"year":' || year, '') || '}'
+ELSE '{"type":"audio/album","album_name":"' || title || '"' || coalesce(',"artist":"' || artist || '"', '') || coalesce(',"year":' || year, '') || '}' END AS label FROM titles""", "titles")
+def a11_label_json(spark, sf_dir):
+    return view(spark, sf_dir, "titles").select("gt_id", T.label_json(F.col("type"), F.col("title"), F.col("artist"), F.col("year")).alias("label"))
+
+
+# -- tables -------------------------------------------------------------------------------------
+
+@query(f"""SELECT CASE WHEN {_has('name', P.NEGATIVE)} THEN 'negative' WHEN {_has('name', P.SKIP)} THEN 'skip' WHEN {_has('name', P.AUDIO_MARKS)} AND {_has('name', P.VIDEO_MARKS)} THEN 'both' WHEN {_has('name', P.AUDIO_MARKS)} THEN 'audio'
+WHEN {_has('name', P.VIDEO_MARKS)} THEN 'video' ELSE 'none' END AS marks, count(*) AS n, count(*) FILTER (size BETWEEN 400000000 AND 80000000000) AS movie_sizes, count(*) FILTER (size BETWEEN 30000000 AND 3000000000) AS album_sizes FROM names GROUP BY 1""", "names")
+def f2_name_filters(spark, sf_dir):
+    n = F.col("name")
+    kind = (F.when(n.rlike(P.NEGATIVE), "negative").when(n.rlike(P.SKIP), "skip").when(n.rlike(P.AUDIO_MARKS) & n.rlike(P.VIDEO_MARKS), "both")
+            .when(n.rlike(P.AUDIO_MARKS), "audio").when(n.rlike(P.VIDEO_MARKS), "video").otherwise("none"))
+    fits = lambda k: F.count_if(F.col("size").between(*P.SIZE_RANGES[k])).alias(f"{k}_sizes")
+    return view(spark, sf_dir, "names").groupBy(kind.alias("marks")).agg(F.count("*").alias("n"), fits("movie"), fits("album"))
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE p_name >= substr('small widget', 1, 15) AND p_name < concat(substr('small widget', 1, 15), 'zzz')")
+def f10_prefix_range(spark, sf_dir):
+    prefix = "small widget"[:15]
+    return _table(spark, sf_dir, "part").filter((F.col("p_name") >= prefix) & (F.col("p_name") < prefix + "zzz")).select("p_partkey", "p_name")
+
+
+@query("SELECT content_id, count(*) AS tracks FROM files WHERE lower(path) LIKE '%.mp3' OR lower(path) LIKE '%.flac' GROUP BY content_id HAVING count(*) >= 3", "files")
+def f12_music_records(spark, sf_dir):
+    path = F.lower("path")
+    rows = view(spark, sf_dir, "files").filter(path.endswith(".mp3") | path.endswith(".flac")).groupBy("content_id").agg(F.count("*").alias("tracks"))
+    return rows.filter("tracks >= 3")
+
+
+@query("""WITH old AS (SELECT doc_id AS k, 'old' AS v FROM documents WHERE doc_id % 3 = 0), new AS (SELECT doc_id - doc_id % 2 AS k, source AS v, doc_id AS o FROM documents),
+f AS (SELECT k, v, row_number() OVER (PARTITION BY k ORDER BY o) AS r FROM new WHERE k NOT IN (SELECT k FROM old)) SELECT k, v FROM old UNION ALL SELECT k, v FROM f WHERE r = 1""")
+def k3_insert_or_ignore(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    old = docs.filter("doc_id % 3 = 0").select(F.col("doc_id").alias("k"), F.lit("old").alias("v"), F.lit(0).cast("long").alias("o"))
+    new = docs.select((F.col("doc_id") - F.col("doc_id") % 2).alias("k"), F.col("source").alias("v"), F.col("doc_id").alias("o"))
+    return matching.insert_or_ignore(old, new, ["k"], ["o"]).select("k", "v")
+
+
+@query("SELECT d.doc_id, coalesce(l.toxic, -1) AS toxic FROM documents d LEFT JOIN labels l USING (doc_id)")
+def k4_update_by_id(spark, sf_dir):
+    new = _table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("_new"))
+    return _table(spark, sf_dir, "documents").select("doc_id", F.lit(-1).alias("toxic")).join(new, "doc_id", "left").select("doc_id", F.coalesce("_new", "toxic").alias("toxic"))
+
+
+@query("""WITH al AS (SELECT DISTINCT p_name AS canonical_name, p_brand AS alias FROM part WHERE p_size < 20), n AS (SELECT DISTINCT upper(p_name) AS name FROM part UNION SELECT lower(p_brand) FROM part),
+f AS (SELECT n.name, al.alias AS other FROM n JOIN al ON lower(n.name) = lower(al.canonical_name)),
+b AS (SELECT n.name, min(al.canonical_name) AS other FROM n JOIN al ON lower(n.name) = lower(al.alias) WHERE n.name NOT IN (SELECT name FROM f) GROUP BY n.name)
+SELECT name, name AS other FROM n UNION SELECT * FROM f UNION SELECT * FROM b""")
+def j10_aliases(spark, sf_dir):
+    part = _table(spark, sf_dir, "part")
+    known = part.filter("p_size < 20").select(F.col("p_name").alias("canonical_name"), F.col("p_brand").alias("alias")).distinct()
+    names = part.select(F.upper("p_name").alias("name")).union(part.select(F.lower("p_brand"))).distinct()
+    return matching.aliases_of(names, known)
+
+
+@query("""SELECT o.o_orderkey AS album_id, c.c_name AS artist, n.n_name AS album FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey WHERE NOT (o.o_orderstatus = 'F')""")
+def j8_bridge_join(spark, sf_dir):
+    orders = _table(spark, sf_dir, "orders").filter("NOT (o_orderstatus = 'F')").select("o_orderkey", "o_custkey")
+    customer, nation = _table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey"), _table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    rows = orders.join(customer, orders["o_custkey"] == customer["c_custkey"]).join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    return rows.select(F.col("o_orderkey").alias("album_id"), F.col("c_name").alias("artist"), F.col("n_name").alias("album"))
+
+
+@query()
+def j1_sequence_ratio(spark, sf_dir):
+    part = _table(spark, sf_dir, "part")
+    return part.select("p_partkey", F.round(matching.sequence_ratio(T.normal_title(F.col("p_name")), F.lower("p_brand")), 6).alias("ratio"))
+
+
+@query()
+def s9_json_lines(spark, sf_dir):
+    from mediaspark.streaming.lines import classify_lines
+
+    lines = view(spark, sf_dir, "content").groupBy((F.col("content_id") % 100).alias("k")).agg(F.to_json(F.sort_array(F.collect_list("name"))).alias("value"))
+    return classify_lines(lines)
+
+
+@query("SELECT doc_id, source FROM documents ORDER BY source, doc_id LIMIT 50 OFFSET 25")
+def a13_limit_offset(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select("doc_id", "source").orderBy("source", "doc_id").offset(25).limit(50)
+
+
+@query("""SELECT event_type, date_trunc('hour', ts) AS hour, count(*) AS n, count(*) - lag(count(*)) OVER (PARTITION BY event_type ORDER BY date_trunc('hour', ts)) AS change FROM events GROUP BY 1, 2""")
+def a21_rate_between_polls(spark, sf_dir):
+    rows = _table(spark, sf_dir, "events").groupBy("event_type", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour")).agg(F.count("*").alias("n"))
+    return rows.withColumn("change", F.col("n") - F.lag("n").over(Window.partitionBy("event_type").orderBy("hour")))
+
+
+@query("""WITH e AS (SELECT vec_id, embedding[1:4] AS x FROM embeddings), m AS (SELECT vec_id, list_transform(x, lambda v: exp(v::DOUBLE - list_max(x)::DOUBLE)) AS y FROM e)
+SELECT vec_id, round(list_max(y) / list_sum(y), 5) AS top FROM m""")
+def c20_softmax(spark, sf_dir):
+    from mediaspark.operators.model import softmax
+
+    return _table(spark, sf_dir, "embeddings").select("vec_id", F.round(F.array_max(softmax(F.slice("embedding", 1, 4))), 5).alias("top"))
+
+
+@query()
+def c16_model_stage(spark, sf_dir):
+    from mediaspark.operators.model import keyword_model, with_model
+
+    return with_model(classified(spark, sf_dir), keyword_model).select("content_id", "medium", "confidence", "source")
