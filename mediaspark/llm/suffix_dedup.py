@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -80,16 +81,19 @@ def seeds(first: DataFrame) -> DataFrame:
     rows = rows.repartitionByRange("key", "doc", "place").sortWithinPartitions("key", "doc", "place")
 
     def run(batches):
-        tail = None
+        part, n, head, tail = TaskContext.get().partitionId(), 0, None, None
         for batch in batches:
             if not batch.num_rows:
                 continue
             doc, place = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             key = np.frombuffer(b"".join(batch.column(2).to_pylist()), ">u4").reshape(-1, KEY)[:, :WIDTH]
+            n += len(doc)
             old = 0
             if tail is not None:
                 old = len(tail[0])
                 doc, place, key = (np.concatenate([x, y]) for x, y in zip(tail, (doc, place, key)))
+            if head is None or len(head[0]) < NEAR:
+                head = [x[:NEAR] for x in (doc, place, key)]
             found = []
             for gap in range(1, NEAR + 1):
                 i = np.arange(max(0, old - gap), len(doc) - gap)
@@ -100,13 +104,42 @@ def seeds(first: DataFrame) -> DataFrame:
                 found.append(np.stack([doc[x], doc[y], place[x].astype(np.int64), place[y].astype(np.int64)], 1))
             tail = [doc[-NEAR:], place[-NEAR:], key[-NEAR:]]
             got = np.concatenate(found)
-            yield pa.RecordBatch.from_arrays([pa.array(got[:, k]) for k in range(4)], ["a", "b", "pa", "pb"])
-
-    pairs = rows.select("doc", "place", "key").mapInArrow(run, "a long, b long, pa long, pb long")
+            none = pa.nulls(len(got), pa.int64())
+            yield pa.RecordBatch.from_arrays([*[pa.array(got[:, k]) for k in range(4)], none, none, pa.nulls(len(got), pa.binary())], _EDGE)
+        if tail is not None:
+            # The partition's first and last rows, whose neighbours may be in others.
+            ends = {k: x for x, base in ((head, 0), (tail, n - len(tail[0]))) for k, x in enumerate(zip(*x), base)}
+            rows = [(int(d), None, int(p), n, part, k, key.tobytes()) for k, (d, p, key) in ends.items()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [*[pa.int64()] * 6, pa.binary()])], _EDGE)
+
+    kind = "a long, b long, pa long, pb long, part long, nth long, key binary"
+    marks, _ = stage(rows.select("doc", "place", "key").mapInArrow(run, kind), "pairs")
+    more = _across([tuple(r) for r in marks.filter("part IS NOT NULL").select("part", "nth", "pb", "a", "pa", "key").collect()])  # 2 * NEAR rows a partition
+    pairs = marks.filter("part IS NULL").select("a", "b", "pa", "pb").unionByName(first.sparkSession.createDataFrame(more, "a long, b long, pa long, pb long"))
     lines = pairs.groupBy("a", "b", (F.col("pb") - F.col("pa")).alias("_diagonal")).agg(F.collect_list((F.col("pa") * (1 << 31) + F.col("pb"))).alias("_p"))
     return lines.groupBy("a", "b").agg(F.flatten(F.collect_list("_p")).alias("places"))
 
 
+_EDGE = ["a", "b", "pa", "pb", "part", "nth", "key"]
+
+
+def _across(ends: list[tuple]) -> list[tuple]:
+    """Pairs of neighbours from different partitions. ends: (partition, place in it, its rows, document, place, key)."""
+    line, begin, before = [], 0, None
+    for part, nth, n, *row in sorted(ends):
+        if before is not None and part != before[0]:
+            begin += before[1]
+        before = (part, n)
+        line.append((begin + nth, part, row))
+    out = []
+    for i, (at, part, (doc, place, key)) in enumerate(line):
+        for at2, part2, (doc2, place2, key2) in line[i + 1:i + 1 + NEAR]:
+            if part != part2 and at2 - at <= NEAR and key == key2:
+                (a, pa_), (b, pb) = sorted([(doc, place), (doc2, place2)])
+                out.append((a, b, pa_, pb))
+    return out
+
+
 def _packed(docs: DataFrame, ids: DataFrame) -> DataFrame:
     def run(batches):
         tool = zstandard.ZstdCompressor(level=1)

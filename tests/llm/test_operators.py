@@ -294,3 +294,17 @@ def test_hot_keys_join_once(spark):
     small = big.groupBy("key").count().withColumnRenamed("count", "n")
     got = {r["id"]: r["n"] for r in common.hot_join(big, small, "key", "n", 4000).collect()}
     assert len(got) == 4000 and got[1] == 2000 and got[2] == 1 and got[10] is None
+
+
+def test_neighbours_across_partitions():
+    """However a sorted line is cut into partitions, the pairs across the cuts are those of the whole line."""
+    rng = random.Random(8)
+    for _ in range(200):
+        line = sorted((rng.choice("ab"), k) for k in range(rng.randint(1, 12)))
+        part = sorted(rng.randrange(4) for _ in line)
+        size = collections.Counter(part)
+        first = {p: part.index(p) for p in size}
+        ends = [(p, k - first[p], size[p], d, 0, key.encode()) for k, ((key, d), p) in enumerate(zip(line, part))
+                if k - first[p] < suffix_dedup.NEAR or size[p] - (k - first[p]) <= suffix_dedup.NEAR]
+        want = {tuple(sorted((line[i][1], line[j][1]))) for i in range(len(line)) for j in range(i + 1, min(len(line), i + 1 + suffix_dedup.NEAR)) if part[i] != part[j] and line[i][0] == line[j][0]}
+        assert {(a, b) for a, b, _, _ in suffix_dedup._across(ends)} == want
