@@ -583,3 +583,46 @@ def c16_model_stage(spark, sf_dir):
     from mediaspark.operators.model import keyword_model, with_model
 
     return with_model(classified(spark, sf_dir), keyword_model).select("content_id", "medium", "confidence", "source")
+
+
+# -- catalogue and pairs ------------------------------------------------------------------------
+
+@query()
+def j9_catalogue_match(spark, sf_dir):
+    from mediaspark.operators import catalog
+
+    part = _table(spark, sf_dir, "part")
+    year = (1990 + F.col("p_partkey") % 30).cast("int")
+    known = part.filter("p_size < 5").select(F.col("p_partkey").alias("album_id"), F.col("p_brand").alias("artist"), F.concat("p_name", F.lit(" (deluxe)")).alias("album"), year.alias("year"))
+    wanted = part.filter("p_size = 30").select(F.col("p_partkey").alias("q_id"), F.col("p_brand").alias("q_artist"), F.col("p_name").alias("q_album"), year.alias("q_year"))
+    return catalog.best_of_catalogue(wanted, known).select("q_id", "album_id", F.round("score", 6).alias("score"), "strategy")
+
+
+@query("""WITH v AS (SELECT id, a, b, n1, n2, CASE WHEN a IS NULL AND b IS NULL THEN 1.0 WHEN a IS NULL OR b IS NULL THEN 0.0 ELSE CASE WHEN n1 IS NOT DISTINCT FROM n2 THEN 1.0 ELSE 0.0 END END AS m FROM votes)
+SELECT id, CASE WHEN a IS NULL AND b IS NULL THEN 'both_null' WHEN a IS NULL THEN 'model1_failed' WHEN b IS NULL THEN 'model2_failed' WHEN m >= 0.7 THEN 'agree' ELSE 'disagree' END AS status, m::DOUBLE AS agreement FROM v""", "votes")
+def j14_extraction_agreement(spark, sf_dir):
+    from mediaspark.operators import catalog
+
+    same = catalog.field_similarity(F.col("n1"), F.col("n2"), F.lit(0.0), exact=True)
+    status, mean = catalog.agreement([same], F.col("a"), F.col("b"))
+    return view(spark, sf_dir, "votes").select("id", status.alias("status"), mean.alias("agreement"))
+
+
+@query()
+def a17_training_pairs(spark, sf_dir):
+    from mediaspark.operators import catalog
+
+    return catalog.training_pairs(_table(spark, sf_dir, "part").select(F.col("p_name").alias("name")))
+
+
+@query("""SELECT type, count(*) AS n, avg(CASE WHEN lower(trim(title)) = lower(trim(p_name)) THEN 1.0 ELSE 0.0 END)::DOUBLE AS exact FROM titles JOIN part ON gt_id + 1 = p_partkey GROUP BY type""", "titles")
+def a20_exact_accuracy(spark, sf_dir):
+    rows = view(spark, sf_dir, "titles").join(_table(spark, sf_dir, "part"), F.col("gt_id") + 1 == F.col("p_partkey"))
+    return rows.groupBy("type").agg(F.count("*").alias("n"), F.avg((F.lower(F.trim("title")) == F.lower(F.trim("p_name"))).cast("double")).alias("exact"))
+
+
+@query()
+def m12_folded_names(spark, sf_dir):
+    from mediaspark.operators import catalog
+
+    return _table(spark, sf_dir, "documents").select("doc_id", catalog.folded(F.substring("text", 1, 40)).alias("folded"))
