@@ -4,7 +4,7 @@ Texts become sets of hashed word shingles. Equal sets are one class and are sett
 gets TREES x LEVELS minhash values; a tree is the order of all classes by its own LEVELS values, so classes with
 a long common prefix are neighbours, and how deep two neighbours must agree follows from how crowded their
 region is: a row is compared with the rows next to it, which in a crowded region share more levels. Neighbours
-whose whole signatures agree well enough are candidates; links are confirmed on the full sets.
+whose whole sketches agree well enough are candidates; links are confirmed on the full sets.
 
 A first pass compares direct neighbours in FIRST_TREES trees and confirms its candidates, so that a group of n
 copies costs at most FIRST_TREES * n confirmations. A second pass compares NEAR rows in all trees, but only
@@ -22,6 +22,7 @@ empty table. Other columns are not read.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,15 +32,17 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mediaspark.llm.common import drop, factors, hot_join, shingle_sets, slices, stage, with_fields
+from mediaspark.llm.common import drop, factors, hot_join, shared_dir, shingle_sets, slices, stage, with_fields
 from mediaspark.llm.graph import components
 
 TREES, LEVELS, LEAST = 16, 6, 2
-VALUES = TREES * LEVELS
+#: Minhash values: the trees' and as many more; all of them estimate a similarity, by 8 bits each.
+IN_TREES = TREES * LEVELS
+VALUES = 2 * IN_TREES
 #: Trees of the first pass; rows compared in the second.
 FIRST_TREES, NEAR = 3, 8
 #: How far below the limit an estimate may be; more than four times its standard deviation.
-SLACK = 0.17
+SLACK = 0.13
 #: Rounds of the second pass that confirm one candidate a component; then all that are left. So are all where they are at most EASY times as many.
 ROUNDS, EASY = 3, 4
 
@@ -54,9 +57,9 @@ class Limit:
 
 
 def signatures(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n_shingles, set_id (null without shingles) and signature (VALUES numbers of 16 bits)."""
+    """doc_id, n_shingles, set_id (null without shingles), paths (IN_TREES numbers of 16 bits) and sketch (VALUES of 8 bits)."""
     a, b = factors(VALUES, 21), factors(VALUES, 22)
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_id", pa.binary()), ("signature", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_id", pa.binary()), ("paths", pa.binary()), ("sketch", pa.binary())])
 
     def run(batches):
         for batch in batches:
@@ -73,40 +76,45 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
                         v >>= np.uint64(32)
                         low[full, j] = np.minimum.reduceat(v, at).astype(np.uint16)
                 name = [xxhash.xxh3_128_digest(values[i:j].tobytes()) if j > i else None for i, j in zip(off, off[1:])]
-                sig = [x.tobytes() if n else None for x, n in zip(low, size)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(size.astype(np.int64)), pa.array(name, pa.binary()), pa.array(sig, pa.binary())], schema=schema)
+                paths, sketch = ([x.tobytes() if n else None for x, n in zip(rows, size)] for rows in (low[:, :IN_TREES], low.astype(np.uint8)))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(size.astype(np.int64)), pa.array(name, pa.binary()), pa.array(paths, pa.binary()), pa.array(sketch, pa.binary())], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(run, "doc_id long, n_shingles long, set_id binary, signature binary")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(run, "doc_id long, n_shingles long, set_id binary, paths binary, sketch binary")
 
 
-def neighbours(classes: DataFrame, trees: int, near: int, at_least: float) -> DataFrame:
-    """(a, b, alike): pairs of classes (id, signature, root) that are near in a tree, of different roots, with that estimate."""
-    rows = classes.select("id", "root", "signature", F.posexplode(F.array(*[F.substring("signature", 2 * LEVELS * t + 1, 2 * LEVELS) for t in range(trees)])).alias("tree", "path"))
+def neighbours(classes: DataFrame, trees: int, near: int, limit: Limit) -> DataFrame:
+    """(a, b, alike): pairs of classes (id, root, n, paths, sketch) that are near in a tree, of different roots, that may be linked.
+
+    Sets of sizes m <= n have a similarity of at most m / n, so pairs of too different sizes go; so do pairs
+    whose sketches say less than the limit by more than SLACK.
+    """
+    paths = F.array(*[F.substring("paths", 2 * LEVELS * t + 1, 2 * LEVELS) for t in range(trees)])
+    rows = classes.select("id", "root", "n", "sketch", F.posexplode(paths).alias("tree", "path"))
     rows = rows.repartitionByRange("tree", "path", "id").sortWithinPartitions("tree", "path", "id")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("alike", pa.float64())])
+    num, den, at_least = limit.num, limit.den, limit.num / limit.den - SLACK
 
     def run(batches):
         tail = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            ids, root = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            sig = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint16).reshape(-1, VALUES)
-            tree = batch.column(3).to_numpy(zero_copy_only=False)
+            ids, root, n, tree = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2, 3))
             path = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint16).reshape(-1, LEVELS)
-            now = [ids, root, (sig & 0xFF).astype(np.uint8), tree, path]
-            old = 0
+            sketch = np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint8).reshape(-1, VALUES)
+            now, old = [ids, root, n, tree, path, sketch], 0
             if tail is not None:
                 old = len(tail[0])
                 now = [np.concatenate([x, y]) for x, y in zip(tail, now)]
-            ids, root, sig, tree, path = now
+            ids, root, n, tree, path, sketch = now
             out: list[np.ndarray] = []
             for gap in range(1, near + 1):
                 i = np.arange(max(0, old - gap), len(ids) - gap)
                 j = i + gap
                 ok = (tree[i] == tree[j]) & (root[i] != root[j]) & (path[i, :LEAST] == path[j, :LEAST]).all(1)
+                ok &= den * np.minimum(n[i], n[j]) >= num * np.maximum(n[i], n[j])
                 i, j = i[ok], j[ok]
-                same = (sig[i] == sig[j]).mean(1) if len(i) else np.zeros(0)
+                same = (sketch[i] == sketch[j]).mean(1) if len(i) else np.zeros(0)
                 alike = (same - 1 / 256) / (1 - 1 / 256)
                 ok = alike >= at_least
                 out.append(np.stack([np.minimum(ids[i], ids[j])[ok], np.maximum(ids[i], ids[j])[ok], alike[ok]], 1))
@@ -114,25 +122,31 @@ def neighbours(classes: DataFrame, trees: int, near: int, at_least: float) -> Da
             got = np.concatenate(out)
             yield pa.RecordBatch.from_arrays([pa.array(got[:, 0].astype(np.int64)), pa.array(got[:, 1].astype(np.int64)), pa.array(got[:, 2])], schema=schema)
 
-    pairs = rows.select("id", "root", "signature", "tree", "path").mapInArrow(run, "a long, b long, alike double")
+    pairs = rows.select("id", "root", "n", "tree", "path", "sketch").mapInArrow(run, "a long, b long, alike double")
     return pairs.groupBy("a", "b").agg(F.max("alike").alias("alike"))
 
 
-def packed_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, packed): the compressed texts of those documents."""
+def packed_texts(docs: DataFrame) -> tuple[DataFrame, str]:
+    """(id, packed): all texts, compressed, in a table bucketed by id, and its name.
+
+    The one movement of the texts: what joins this table on id later moves only its own rows.
+    """
 
     def run(batches):
         tool = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([tool.compress((t or "").encode()) for t in batch.column(1).to_pylist()], pa.binary())], ["id", "packed"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
-    return rows.join(ids, "id", "left_semi").mapInArrow(run, "id long, packed binary")
+    spark = docs.sparkSession
+    name, buckets = f"packed_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text").mapInArrow(run, "id long, packed binary")
+    rows.repartition(buckets, "id").write.bucketBy(buckets, "id").sortBy("id").option("path", f"{shared_dir(spark).rstrip('/')}/{name}").saveAsTable(name)
+    return spark.table(name), name
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, limit: Limit) -> DataFrame:
     """pairs (a, b, ...) with linked: whether the full shingle sets are alike enough."""
-    left, right = (texts.select(F.col("id").alias(c), F.col("packed").alias(f"_{c}")) for c in "ab")
+    left, right = (texts.select(F.col("id").alias(c), F.col("packed").alias(f"_{c}")).hint("merge") for c in "ab")
     rows = pairs.join(left, "a").join(right, "b").select(*pairs.columns, "_a", "_b")
     k, num, den, n, names = limit.k, limit.num, limit.den, len(pairs.columns), [*pairs.columns, "linked"]
 
@@ -160,13 +174,12 @@ def _rooted(pairs: DataFrame, roots: DataFrame | None) -> DataFrame:
     return pairs.filter("ra <> rb")
 
 
-def _settle(pairs: DataFrame, docs: DataFrame, limit: Limit, roots: DataFrame | None, rounds: int) -> DataFrame | None:
+def _settle(pairs: DataFrame, texts: DataFrame, limit: Limit, roots: DataFrame | None, rounds: int) -> DataFrame | None:
     """roots (node, root) after confirming pairs (a, b, alike), best first."""
-    spark = docs.sparkSession
+    spark = texts.sparkSession
     left, path = stage(pairs, "candidates")
     if left.isEmpty():
         return roots
-    texts, texts_at = stage(packed_texts(docs, left.select(F.explode(F.array("a", "b")).alias("id")).distinct()), "texts")
     for k in range(rounds + 1):
         open_, open_at = stage(_rooted(left, roots), "open")
         if open_.isEmpty():
@@ -192,7 +205,7 @@ def _settle(pairs: DataFrame, docs: DataFrame, limit: Limit, roots: DataFrame |
         rest, rest_at = stage(open_.select("a", "b", "alike").join(tried.select("a", "b"), ["a", "b"], "left_anti"), "candidates")
         drop(spark, path, open_at, tried_at)
         left, path = rest, rest_at
-    drop(spark, path, texts_at)
+    drop(spark, path)
     return roots
 
 
@@ -201,14 +214,18 @@ def link(docs: DataFrame, limit: Limit = Limit()) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows, _ = stage(signatures(docs, limit.k), "signatures")
-    classes = rows.filter(F.col("set_id").isNotNull()).groupBy("set_id").agg(F.min("doc_id").alias("id"), F.count("*").alias("n_rows"), F.min("signature").alias("signature"))
+    classes = rows.filter(F.col("set_id").isNotNull()).groupBy("set_id").agg(
+        F.min("doc_id").alias("id"), F.count("*").alias("n_rows"), F.min("n_shingles").alias("n"), F.min("paths").alias("paths"), F.min("sketch").alias("sketch"))
     classes, _ = stage(classes.filter(F.col("id").isNotNull()), "classes")
-    at_least = limit.num / limit.den - SLACK
-    plain = classes.select("id", F.col("id").alias("root"), "signature")
-    roots = _settle(neighbours(plain, FIRST_TREES, 1, at_least), docs, limit, None, 0)
+    texts, table = packed_texts(docs)
+    plain = classes.select("id", F.col("id").alias("root"), "n", "paths", "sketch")
+    roots = _settle(neighbours(plain, FIRST_TREES, 1, limit), texts, limit, None, 0)
     if roots is not None:
-        plain = classes.select("id", "signature").join(roots.select(F.col("node").alias("id"), "root"), "id", "left").select("id", F.coalesce("root", "id").alias("root"), "signature")
-    roots = _settle(neighbours(plain, TREES, NEAR, at_least), docs, limit, roots, ROUNDS)
+        found = roots.select(F.col("node").alias("id"), "root")
+        plain = classes.select("id", "n", "paths", "sketch").join(found, "id", "left").select("id", F.coalesce("root", "id").alias("root"), "n", "paths", "sketch")
+    roots = _settle(neighbours(plain, TREES, NEAR, limit), texts, limit, roots, ROUNDS)
+    spark.sql(f"DROP TABLE {table}")
+    drop(spark, f"{shared_dir(spark).rstrip('/')}/{table}")
     named = classes.select("set_id", "id", "n_rows")
     if roots is None:
         named = named.withColumn("_root", F.col("id"))
