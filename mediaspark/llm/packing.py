@@ -28,7 +28,7 @@ from mediaspark.llm.common import drop, stage
 
 CAPACITY, END = 1024, 2
 #: Known word encodings that a worker holds at most.
-CACHE = 300_000
+CACHE = 400_000
 _BREAK = re.compile(r"(?<=\S) (?=\S)")
 _ODD = re.compile(r"^ | $| \s|\s ")
 
@@ -88,16 +88,17 @@ class Encoder:
 
 
 class _Known(dict):
-    """Encodings of pieces after one lead, made as they are asked for."""
+    """Encodings of pieces after one lead, made as they are asked for; at most CACHE, those asked for lately."""
 
     def __init__(self, encoder: Encoder, lead: str):
         super().__init__()
-        self.encoder, self.lead = encoder, lead
+        self.encoder, self.lead, self.older = encoder, lead, {}
 
     def __missing__(self, piece: str) -> bytes:
-        got = self.encoder.piece(piece, self)
+        got = self.older.get(piece) or self.encoder.piece(piece, self)
         if len(piece) < 64 and "\n" not in piece:
-            if len(self) >= CACHE:
+            if len(self) >= CACHE // 2:  # what isn't asked for again by the next time goes
+                self.older = dict(self)
                 self.clear()
             self[piece] = got
         return got
