@@ -28,7 +28,7 @@ from mediaspark.llm.common import drop, stage
 
 CAPACITY, END = 1024, 2
 #: Known word encodings that a worker holds at most.
-CACHE = 400_000
+CACHE = 800_000
 _BREAK = re.compile(r"(?<=\S) (?=\S)")
 _ODD = re.compile(r"^ | $| \s|\s ")
 
