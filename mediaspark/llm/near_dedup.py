@@ -7,9 +7,11 @@ region is: a row is compared with the rows next to it, which in a crowded region
 whose whole sketches agree well enough are candidates; links are confirmed on the full sets.
 
 A first pass compares direct neighbours in FIRST_TREES trees and confirms its candidates, so that a group of n
-copies costs at most FIRST_TREES * n confirmations. A second pass compares NEAR rows in all trees, but only
-those that aren't in one component yet, and confirms best first. No group is ever gathered or paired off in
-full.
+copies costs at most FIRST_TREES * n confirmations. Then every region of rows that share LEAST levels in a tree
+is walked in full, in blocks of at most two slices of SLICE rows: each row names its NEAR best candidates of
+other components, in all trees, which are confirmed best first. Rows that had as many as they may name are
+walked again from where they stopped, against each other and with more places, until every pair of a region
+is in one component or was a candidate. No group is ever gathered, and only pairs of different components are compared.
 
 With 16 trees a link of similarity s has no tree with a common prefix of LEAST levels with probability
 (1 - s ** LEAST) ** 16: under 1e-8 for 0.85.
@@ -39,11 +41,13 @@ TREES, LEVELS, LEAST = 16, 6, 2
 #: Minhash values: the trees' and as many more; all of them estimate a similarity, by 8 bits each.
 IN_TREES = TREES * LEVELS
 VALUES = 2 * IN_TREES
-#: Trees of the first pass; rows compared in the second.
-FIRST_TREES, NEAR = 3, 8
+#: Trees of the first pass; candidates a row names in the first walk, and at most in later ones.
+FIRST_TREES, NEAR, MOST = 3, 8, 512
+#: Rows of a region that are compared with as many others in one block.
+SLICE = 8192
 #: How far below the limit an estimate may be; more than four times its standard deviation.
 SLACK = 0.13
-#: Rounds of the second pass that confirm one candidate a component; then all that are left. So are all where they are at most EASY times as many.
+#: Rounds after a walk that confirm one candidate a component; then all that are left. So are all where they are at most EASY times as many.
 ROUNDS, EASY = 3, 4
 
 
@@ -126,6 +130,104 @@ def neighbours(classes: DataFrame, trees: int, near: int, limit: Limit) -> DataF
     return pairs.groupBy("a", "b").agg(F.max("alike").alias("alike"))
 
 
+def _blocks(rows: DataFrame, size: int) -> DataFrame:
+    """rows once for each tree and block of their region (key): a region of several slices has a block for each pair of slices (lo, hi)."""
+    keys = F.array(*[F.xxhash64(F.lit(t), F.substring("paths", 2 * LEVELS * t + 1, 2 * LEAST)) for t in range(TREES)])
+    rows = rows.withColumn("key", F.explode(keys)).drop("paths")
+    crowded = rows.groupBy("key").agg(F.count("*").alias("_n"), F.min("root").alias("_a"), F.max("root").alias("_b")).filter((F.col("_n") > size) & (F.col("_a") != F.col("_b")))
+    crowded, _ = stage(crowded.select("key", F.ceil(F.col("_n") / size).cast("int").alias("_q")), "crowded")
+    if crowded.isEmpty():
+        return rows.select("*", F.lit(0).alias("own"), F.lit(0).alias("lo"), F.lit(0).alias("hi"))
+    # Fewer than TREES / size of the rows.
+    rows = rows.join(F.broadcast(crowded) if crowded.count() < 100_000 else crowded, "key", "left").withColumn("_q", F.coalesce("_q", F.lit(1)))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.col("_q")).cast("int")).withColumn("_t", F.explode(F.sequence(F.lit(0), F.col("_q") - 1)))
+    return rows.select("*", F.least("own", "_t").alias("lo"), F.greatest("own", "_t").alias("hi")).drop("_q", "_t")
+
+
+def _best(row: np.ndarray, other: np.ndarray, same: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each row the `most` first different others, by falling same, then by other."""
+    order = np.lexsort((other, -same, row))
+    row, other, same = row[order], other[order], same[order]
+    once = np.ones(len(row), bool)  # a pair may meet in several trees
+    once[1:] = (row[1:] != row[:-1]) | (other[1:] != other[:-1])
+    row, other, same = row[once], other[once], same[once]
+    new = np.ones(len(row), bool)
+    new[1:] = row[1:] != row[:-1]
+    first = np.flatnonzero(new)
+    ok = np.arange(len(row)) - np.repeat(first, np.diff(np.append(first, len(row)))) < most
+    return row[ok], other[ok], same[ok]
+
+
+def walk(rows: DataFrame, most: int, limit: Limit, size: int = SLICE) -> DataFrame:
+    """(row, best): for each of rows (id, root, n, paths, sketch, mark, mark_id) its next candidates (-same, other), best first, `most` at most.
+
+    Candidates come by falling number of equal sketch values, then by id; (mark, mark_id) is the last that a row has
+    named. A pair that either end has named is not a candidate again. Pairs of too different sizes, or whose sketches
+    say less than the limit by more than SLACK, are none.
+    """
+    rows = _blocks(rows, size).select("key", "lo", "hi", "own", "id", "root", "n", "mark", "mark_id", "sketch")
+    rows = rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+    schema = pa.schema([("row", pa.int64()), ("other", pa.int64()), ("same", pa.int64())])
+    num, den = limit.num, limit.den
+    # (same / VALUES - 1 / 256) / (1 - 1 / 256) >= limit - SLACK
+    least = int(np.ceil(VALUES * ((num / den - SLACK) * 255 / 256 + 1 / 256) - 1e-9))
+
+    def pairs(block):
+        key, lo, hi, own, ids, root, n, mark, mark_id, sketch = block
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])
+        end = np.append(np.flatnonzero(new)[1:], len(key))[np.cumsum(new) - 1]
+        found, held = [], 0
+        i, gap = np.arange(len(key)), 0
+        while True:
+            gap += 1
+            i = i[i + gap < end[i]]
+            if not len(i):
+                break
+            j = i + gap
+            ok = (root[i] != root[j]) & ((lo[i] == hi[i]) | (own[i] != own[j])) & (den * np.minimum(n[i], n[j]) >= num * np.maximum(n[i], n[j]))
+            x, y = i[ok], j[ok]
+            if not len(x):
+                continue
+            same = (sketch[x] == sketch[y]).sum(1)
+            ok = same >= least
+            x, y, same = x[ok], y[ok], same[ok]
+            ok = (same < mark[x]) | (same == mark[x]) & (ids[y] > mark_id[x])
+            ok &= (same < mark[y]) | (same == mark[y]) & (ids[x] > mark_id[y])
+            x, y, same = ids[x[ok]], ids[y[ok]], same[ok]
+            if len(x):
+                found.append((np.concatenate([x, y]), np.concatenate([y, x]), np.concatenate([same, same])))
+                held += 2 * len(x)
+            if held > 1 << 20 and len(found) > 1:
+                found = [_best(*map(np.concatenate, zip(*found)), most)]
+                held = len(found[0][0]) // 2
+        got = _best(*map(np.concatenate, zip(*found)), most) if found else [np.zeros(0, np.int64)] * 3
+        return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in got], schema=schema)
+
+    def run(batches):
+        held: list[list[np.ndarray]] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            now = [batch.column(c).to_numpy(zero_copy_only=False) for c in range(9)]
+            now.append(np.frombuffer(b"".join(batch.column(9).to_pylist()), np.uint8).reshape(-1, VALUES))
+            if held and all(x[0] == y[-1] == y[0] == x[-1] for x, y in zip(now[:3], held[-1][:3])):
+                held.append(now)  # all of one block, which goes on
+                continue
+            now = [np.concatenate(c) for c in zip(*held, now)]
+            last = (now[0] == now[0][-1]) & (now[1] == now[1][-1]) & (now[2] == now[2][-1])
+            cut = int(np.flatnonzero(last)[0])
+            if cut:
+                yield pairs([c[:cut] for c in now])
+            held = [[c[cut:] for c in now]]
+        if held:
+            yield pairs([np.concatenate(c) for c in zip(*held)])
+
+    named = rows.mapInArrow(run, "row long, other long, same long")
+    best = F.array_sort(F.collect_set(F.struct((-F.col("same")).alias("less"), "other")))
+    return named.groupBy("row").agg(F.slice(best, 1, most).alias("best"))
+
+
 def packed_texts(docs: DataFrame) -> tuple[DataFrame, str]:
     """(id, packed): all texts, compressed, in a table bucketed by id, and its name.
 
@@ -220,10 +322,22 @@ def link(docs: DataFrame, limit: Limit = Limit()) -> DataFrame:
     texts, table = packed_texts(docs)
     plain = classes.select("id", F.col("id").alias("root"), "n", "paths", "sketch")
     roots = _settle(neighbours(plain, FIRST_TREES, 1, limit), texts, limit, None, 0)
-    if roots is not None:
-        found = roots.select(F.col("node").alias("id"), "root")
-        plain = classes.select("id", "n", "paths", "sketch").join(found, "id", "left").select("id", F.coalesce("root", "id").alias("root"), "n", "paths", "sketch")
-    roots = _settle(neighbours(plain, TREES, NEAR, limit), texts, limit, roots, ROUNDS)
+    # Rows that may name further candidates; a pair of which one end has named all it has is settled.
+    open_, most = plain.drop("root").withColumns({"mark": F.lit(VALUES + 1).cast("long"), "mark_id": F.lit(0).cast("long")}), NEAR
+    while True:
+        now = open_.withColumn("root", F.col("id"))
+        if roots is not None:
+            now = open_.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+        named, _ = stage(walk(now, most, limit), "named")
+        pairs = named.select("row", F.explode("best").alias("_c")).select(
+            F.least("row", "_c.other").alias("a"), F.greatest("row", "_c.other").alias("b"), (-F.col("_c.less")).alias("alike")).distinct()
+        roots = _settle(pairs, texts, limit, roots, ROUNDS)
+        last = F.element_at("best", -1)
+        more = named.filter(F.size("best") == most).select(F.col("row").alias("id"), (-last["less"]).alias("mark"), last["other"].alias("mark_id"))
+        open_, _ = stage(open_.drop("mark", "mark_id").join(more, "id"), "open_rows")
+        if open_.isEmpty():
+            break
+        most = min(4 * most, MOST)
     spark.sql(f"DROP TABLE {table}")
     drop(spark, f"{shared_dir(spark).rstrip('/')}/{table}")
     named = classes.select("set_id", "id", "n_rows")

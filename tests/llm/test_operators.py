@@ -308,3 +308,18 @@ def test_neighbours_across_partitions():
                 if k - first[p] < suffix_dedup.NEAR or size[p] - (k - first[p]) <= suffix_dedup.NEAR]
         want = {tuple(sorted((line[i][1], line[j][1]))) for i in range(len(line)) for j in range(i + 1, min(len(line), i + 1 + suffix_dedup.NEAR)) if part[i] != part[j] and line[i][0] == line[j][0]}
         assert {(a, b) for a, b, _, _ in suffix_dedup._across(ends)} == want
+
+
+def test_near_dedup_star(spark):
+    """A base and many edited copies, each linked with the base alone (0.86; two copies have 0.74): no link may go."""
+    rng = random.Random(9)
+    base = [f"w{k}" for k in range(404)]
+    docs = [(5000, " ".join(base))]
+    for i in range(2000):
+        w = list(base)
+        for p in rng.sample(range(10, 390, 6), 6):
+            w[p] = f"c{i}x{p}"
+        docs.append((i if i < 1000 else i + 9000, " ".join(w)))
+    got = near_dedup.link(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert len(got) == 2001 and {r["component_id"] for r in got} == {0}
+    assert [r["doc_id"] for r in got if r["kept"]] == [0]
