@@ -5,7 +5,9 @@ WINDOW words the place of the smallest hash of a run of WIDTH words, so equal pa
 equal suffixes, about one in twenty places. A suffix is represented by the hashes of its first KEY words; the
 whole corpus's suffixes are sorted by a range partition over (suffix, document, place), which splits suffixes
 that a third of the corpus shares. Each suffix is compared with the NEAR before it; those that agree on WIDTH
-words are seeds. Seeds of two documents on one diagonal are one alignment, which is extended to the left and
+words are seeds. Where more than NEAR + 1 suffixes share WIDTH words, neighbours are not enough: the windows of
+LENGTH words that have such an anchor are hashed, which takes in the words before the anchor and all those after
+it, and each is compared with the first equal window. Seeds of two documents on one diagonal are one alignment, which is extended to the left and
 to the right on the words of both texts, and kept if LENGTH words agree.
 
 Texts of one word sequence are a group: one stands for all and is aligned; the others are reported as whole
@@ -35,8 +37,8 @@ WINDOW = LENGTH
 FIRST = -(1 << 63)
 
 
-def anchor_places(h: np.ndarray, low: np.ndarray, ok: np.ndarray, reach: int) -> np.ndarray:
-    """Places that are the anchor of a window: with the window's smallest hash, the first such."""
+def window_anchors(h: np.ndarray, low: np.ndarray, ok: np.ndarray, reach: int) -> np.ndarray:
+    """For each window the place of its anchor, the first with the window's smallest hash; -1 where not ok."""
     place = np.full(len(low), -1)
     open_ = ok.copy()
     for j in range(reach):
@@ -46,6 +48,12 @@ def anchor_places(h: np.ndarray, low: np.ndarray, ok: np.ndarray, reach: int) ->
         hit = i[h[i + j] == low[i]]
         place[hit] = hit + j
         open_[hit] = False
+    return place
+
+
+def anchor_places(h: np.ndarray, low: np.ndarray, ok: np.ndarray, reach: int) -> np.ndarray:
+    """Places that are the anchor of a window."""
+    place = window_anchors(h, low, ok, reach)
     return np.unique(place[place >= 0])
 
 
@@ -74,7 +82,41 @@ def suffixes(docs: DataFrame) -> DataFrame:
     return docs.select("doc", "text").mapInArrow(run, "doc long, n_words long, sequence binary, places array<int>, keys binary")
 
 
-def seeds(first: DataFrame) -> DataFrame:
+def crowded(first: DataFrame) -> DataFrame:
+    """(doc, places): the anchors whose WIDTH words more than NEAR + 1 anchors have."""
+    at = F.posexplode("places").alias("_k", "place")
+    rows = first.select("doc", "keys", at).select("doc", "place", F.xxhash64(F.substring("keys", F.col("_k") * (4 * KEY) + 1, F.lit(4 * WIDTH))).alias("key"))
+    many = rows.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > NEAR + 1)
+    return hot_join(rows, many, "key", "n", rows.count()).filter("n IS NOT NULL").groupBy("doc").agg(F.collect_set("place").alias("places"))
+
+
+def windows(docs: DataFrame, first: DataFrame) -> DataFrame:
+    """(a, b, pa, pb): each window of LENGTH words with a crowded anchor, and the first that equals it."""
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, "text"):
+                w = Words(part.column(1))
+                place = window_anchors(*w.anchors(WIDTH, WINDOW), w.inside(WINDOW), WINDOW - WIDTH + 1)
+                some = np.zeros(len(w.doc), bool)
+                for d, places in enumerate(part.column(2)):
+                    at = w.first[d] + np.array(places.as_py(), np.int64)
+                    some[at[at < w.first[d + 1]]] = True
+                start = np.flatnonzero(place >= 0)
+                start = start[some[place[start]]]
+                own = w.doc[start]
+                gram = w.grams(LENGTH)[start].view(np.int64) if len(start) else np.zeros(0, np.int64)
+                doc = part.column(0).to_numpy(zero_copy_only=False)
+                yield pa.RecordBatch.from_arrays([pa.array(doc[own], pa.int64()), pa.array(start - w.first[own], pa.int64()), pa.array(gram)], ["doc", "start", "gram"])
+
+    texts = docs.join(crowded(first), "doc").select("doc", "text", "places")
+    rows, _ = stage(texts.mapInArrow(run, "doc long, start long, gram long"), "windows")
+    equal = rows.groupBy("gram").agg(F.min(F.struct("doc", "start")).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    found = hot_join(rows, equal, "gram", "n", rows.count()).filter("n IS NOT NULL").select(F.col("first.doc").alias("a"), F.col("doc").alias("b"), F.col("first.start").alias("pa"), F.col("start").alias("pb"))
+    return found.filter("a <> b OR pa <> pb")
+
+
+def seeds(docs: DataFrame, first: DataFrame) -> DataFrame:
     """(a, b, places): for each pair of documents the places in a and b of one seed a diagonal, packed as 2 ** 31 * place a + place b."""
     at = F.posexplode("places").alias("_k", "place")
     rows = first.select("doc", "keys", at).select("doc", "place", F.substring("keys", F.col("_k") * (4 * KEY) + 1, F.lit(4 * KEY)).alias("key"))
@@ -116,6 +158,7 @@ def seeds(first: DataFrame) -> DataFrame:
     marks, _ = stage(rows.select("doc", "place", "key").mapInArrow(run, kind), "pairs")
     more = _across([tuple(r) for r in marks.filter("part IS NOT NULL").select("part", "nth", "pb", "a", "pa", "key").collect()])  # 2 * NEAR rows a partition
     pairs = marks.filter("part IS NULL").select("a", "b", "pa", "pb").unionByName(first.sparkSession.createDataFrame(more, "a long, b long, pa long, pb long"))
+    pairs = pairs.unionByName(windows(docs, first))
     lines = pairs.groupBy("a", "b", (F.col("pb") - F.col("pa")).alias("_diagonal")).agg(F.collect_list((F.col("pa") * (1 << 31) + F.col("pb"))).alias("_p"))
     return lines.groupBy("a", "b").agg(F.flatten(F.collect_list("_p")).alias("places"))
 
@@ -207,7 +250,7 @@ def passages(docs: DataFrame) -> DataFrame:
     known, _ = stage(hot_join(rows.select("doc", "n_words", "sequence"), groups, "sequence", "n_rows", rows.count()).select("doc", "n_words", "first"), "grouped")
     copies = known.filter((F.col("doc") != F.col("first")) & (F.col("n_words") >= LENGTH)).select("doc", "n_words", "first").distinct()
     leaders = rows.join(known.filter(F.col("doc") == F.col("first")).select("doc").distinct(), "doc", "left_semi")
-    pairs, _ = stage(seeds(leaders), "seeds")
+    pairs, _ = stage(seeds(docs, leaders), "seeds")
     drop(docs.sparkSession, rows_at)
     found = alignments(docs, pairs).distinct()
     zero = F.lit(0).cast("long")

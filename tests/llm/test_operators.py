@@ -323,3 +323,17 @@ def test_near_dedup_star(spark):
     got = near_dedup.link(spark.createDataFrame(docs, "doc_id long, text string")).collect()
     assert len(got) == 2001 and {r["component_id"] for r in got} == {0}
     assert [r["doc_id"] for r in got if r["kept"]] == [0]
+
+
+def test_suffix_passages_with_a_frequent_line(spark):
+    """A line of 30 words that hundreds of texts have, in the midst of passages that two share."""
+    rng = random.Random(10)
+    text = lambda k: " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(k))
+    line = text(30)
+    docs = [f"{text(12)} {line} {text(12)}" for _ in range(400)]
+    for k in range(20):
+        passage = f"{text(10)} {line} {text(10)}"
+        docs[7 * k] = f"{text(9)} {passage} {text(3)}"
+        docs[399 - 7 * k] = f"{text(2)} {passage} {text(8)}"
+    got = {(r["doc_id"], r["start"], r["n_words"], r["other_id"], r["other_start"]) for r in suffix_dedup.passages(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")).collect()}
+    assert got == {x for k in range(20) for a, b in [(7 * k, 399 - 7 * k)] for x in [(a, 9, 50, b, 2), (b, 2, 50, a, 9)]}
