@@ -30,6 +30,7 @@ CAPACITY, END = 1024, 2
 #: Known word encodings that a worker holds at most.
 CACHE = 800_000
 _BREAK = re.compile(r"(?<=\S) (?=\S)")
+_LINE = re.compile(r"(?<=\S)\n(?=\S)")
 _ODD = re.compile(r"^ | $| \s|\s ")
 
 
@@ -75,9 +76,10 @@ class Encoder:
             return self.word(piece, known.lead)
         if plain and piece[-1] in self.marks:
             return known[piece[:-1]] + self.marks[piece[-1]]
-        left, line, right = piece.partition("\n")
-        if left and right and not left[-1].isspace() and not right[0].isspace():
-            return known[left] + self.line + self.bare[right]
+        if "\n" in piece:
+            first, *rest = _LINE.split(piece)
+            if rest:  # none of the parts has such a break again
+                return known[first] + b"".join(self.line + self.bare[x] for x in rest)
         return self.direct(known.lead + piece)
 
     def encode(self, text: str) -> bytes:

@@ -337,3 +337,9 @@ def test_suffix_passages_with_a_frequent_line(spark):
         docs[399 - 7 * k] = f"{text(2)} {passage} {text(8)}"
     got = {(r["doc_id"], r["start"], r["n_words"], r["other_id"], r["other_start"]) for r in suffix_dedup.passages(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")).collect()}
     assert got == {x for k in range(20) for a, b in [(7 * k, 399 - 7 * k)] for x in [(a, 9, 50, b, 2), (b, 2, 50, a, 9)]}
+
+
+def test_encoder_takes_any_number_of_lines():
+    enc = packing.Encoder(packing.default_tokenizer())
+    for t in ["\n".join(f"word{k}" for k in range(5000)), "a\n" * 3000, "x y\n" + "\n".join("ab" for _ in range(3000)) + "\n\nz\nq, r"]:
+        assert enc.encode(t) == enc.direct(t)
