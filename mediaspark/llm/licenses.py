@@ -5,7 +5,8 @@ few thousand buckets that occur in its examples, so most of a text costs one tab
 are the licence families and one for anything else, which is also what a paragraph without known words is.
 Probabilities are calibrated by a temperature, and the least probability of a licence is set on examples left
 out of the fit. A predicted family is confirmed if a template of it has CONFIRM of its words in the paragraph,
-in order.
+in order. Neighbouring lines without a blank one between them are joined where a stem that licences share is near,
+and confirmed in the same way, so a wrapped notice is one licence paragraph.
 
 The examples are made from the templates (words dropped, replaced and surrounded, seeded) and from a bounded
 sample of the corpus: NEGATIVES paragraphs, chosen by a hash, without the word stems that all licences share.
@@ -122,6 +123,9 @@ def similarity(paragraph: str, template: list[str]) -> float:
 
 
 _TEMPLATE_WORDS = {f: [_words(t) for t in ts] for f, ts in TEMPLATES.items()}
+_STEM = re.compile(_SHARED)
+#: Words of a join of lines: twice those of the longest template.
+LONGEST_JOIN = 2 * max(len(w) for ws in _TEMPLATE_WORDS.values() for w in ws)
 
 
 def examples(negatives: list[str], seed: int = 3) -> tuple[list[str], list[str]]:
@@ -212,7 +216,7 @@ def find(texts: pa.Array, model: Model) -> list[list[tuple[int, int, str, float,
     some, p = log_odds(model, lower, lines)
     best = p[:, :-1].argmax(1) if len(p) else np.zeros(0, int)
     hit = np.flatnonzero((p[np.arange(len(p)), best] >= model.least) & (p.argmax(1) == best)) if len(p) else []
-    raw, out = data.tobytes(), [[] for _ in range(len(off) - 1)]
+    raw, taken, out = data.tobytes(), set(), [[] for _ in range(len(off) - 1)]
     for i in hit:
         a, b = int(lines[some[i]]), int(lines[some[i] + 1])
         paragraph = raw[a:b].decode(errors="replace")
@@ -221,7 +225,54 @@ def find(texts: pa.Array, model: Model) -> list[list[tuple[int, int, str, float,
         if like >= CONFIRM:
             doc = int(np.searchsorted(off, a, "right")) - 1
             out[doc].append((a - int(off[doc]), b - int(off[doc]), family, float(p[i, best[i]]), like))
-    return out
+            taken.add(int(some[i]))
+    for i, j, *rest in _joined(raw, lines, off, taken, model):
+        a, b = int(lines[i]), int(lines[j])
+        doc = int(np.searchsorted(off, a, "right")) - 1
+        out[doc].append((a - int(off[doc]), b - int(off[doc]), *rest))
+    return [sorted(x) for x in out]
+
+
+def _joined(raw: bytes, lines: np.ndarray, off: np.ndarray, taken: set[int], model: Model) -> list[tuple[int, int, str, float, float]]:
+    """Licence paragraphs of several neighbouring lines: first line, the line after the last, family, probability, likeness.
+
+    Joins have no blank line and no line of `taken`, a shared stem, and at most LONGEST_JOIN words and a line more.
+    """
+    cut = set(np.searchsorted(lines, off).tolist())
+    heads: list[tuple[int, int, str]] = []
+    n = len(lines) - 1
+    own = [_words(raw[lines[i]:lines[i + 1]].decode(errors="replace")) if i not in taken else [] for i in range(n)]
+    stem = [bool(_STEM.search(" ".join(w))) for w in own]
+    # Lines of a join that has a stem, which may itself be wrapped.
+    pair = [stem[i] or i + 1 < n and i + 1 not in cut and bool(_STEM.search(" ".join(own[i] + own[i + 1]))) for i in range(n)]
+    ends = np.append(np.flatnonzero(pair), n + LONGEST_JOIN)
+    for i in range(n):
+        if not own[i] or ends[np.searchsorted(ends, i)] > i + LONGEST_JOIN:
+            continue
+        text, some = list(own[i]), stem[i]
+        for j in range(i + 1, n):
+            if j in cut or not own[j] or len(text) > LONGEST_JOIN:
+                break
+            text += own[j]
+            some = some or pair[j - 1] or stem[j]
+            if some:
+                heads.append((i, j + 1, " ".join(text)))
+    out = []
+    for k in range(0, len(heads), 2000):
+        part = heads[k:k + 2000]
+        sizes = [len(t.encode()) for _, _, t in part]
+        found, p = log_odds(model, LOWER[np.frombuffer("".join(t for _, _, t in part).encode(), np.uint8)], np.concatenate([[0], np.cumsum(sizes)]))
+        for at, prob in zip(found.tolist(), p):
+            best = int(prob.argmax())
+            if best < len(model.families) - 1 and prob[best] >= model.least:
+                like = max(similarity(part[at][2], t) for t in _TEMPLATE_WORDS[model.families[best]])
+                if like >= CONFIRM:
+                    out.append((part[at][0], part[at][1], model.families[best], float(prob[best]), like))
+    chosen: list[tuple[int, int, str, float, float]] = []
+    for x in sorted(out, key=lambda x: (-x[4], x[1] - x[0], x[0])):
+        if all(x[1] <= y[0] or y[1] <= x[0] for y in chosen):
+            chosen.append(x)
+    return chosen
 
 
 def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:

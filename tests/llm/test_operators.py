@@ -343,3 +343,16 @@ def test_encoder_takes_any_number_of_lines():
     enc = packing.Encoder(packing.default_tokenizer())
     for t in ["\n".join(f"word{k}" for k in range(5000)), "a\n" * 3000, "x y\n" + "\n".join("ab" for _ in range(3000)) + "\n\nz\nq, r"]:
         assert enc.encode(t) == enc.direct(t)
+
+
+def test_wrapped_licences():
+    """Notices over several lines, with comment marks; a blank line ends one, and lines around it stay out."""
+    import pyarrow as pa
+
+    model = licenses.fit(*licenses.examples(["the cat sat on the mat by the door"] * 200))
+    mit = ["# Permission is hereby granted, free of charge, to any person obtaining a copy", "# of this software and associated documentation files (the \"Software\"), to deal", "# in the Software without restriction."]
+    bsd = [" * Redistribution and use in source and binary forms, with or without", " * modification, are permitted provided that the following conditions are met:"]
+    texts = ["\n".join(mit), "/*\n" + "\n".join(bsd) + "\n */\nint main() {}", "\n\n".join(bsd[:1] + ["x"] + bsd[1:]), "He is a licensed engineer\nin the state of things\nand no more", "\n".join(mit + ["#"] + bsd)]
+    got = licenses.find(pa.array(texts), model)
+    assert [[x[2] for x in g] for g in got] == [["mit"], ["bsd"], [], [], ["mit", "bsd"]]
+    assert got[0][0][:2] == (0, len(texts[0])) and got[1][0][:2] == (3, 3 + len("\n".join(bsd)) + 1)
