@@ -116,7 +116,14 @@ def groups(docs: DataFrame) -> DataFrame:
 
 
 def distinct_documents(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, with all their columns."""
-    spark = docs.sparkSession
-    gone, path = stage(groups(docs).filter(~F.col("kept")).select("doc_id"), "copies")
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")
+    """One row of docs for each text, with all its columns: one that has the largest doc_id, if any has one."""
+    decided, _ = stage(groups(docs).groupBy("doc_id", "text_sha256", "kept").agg(F.count("*").alias("n")), "decided")
+    # A doc_id may have several texts, so a row is named by both; what equals another row in both stays once.
+    gone, tied = (decided.filter(c).select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_text")) for c in ("NOT kept", "kept AND n > 1"))
+    own = docs.withColumn("_sha", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
+    same = own["doc_id"].eqNullSafe(F.col("_id")) & (own["_sha"] == F.col("_text"))
+    left = own.join(gone, same, "left_anti")
+    if not tied.isEmpty():
+        same = left["doc_id"].eqNullSafe(F.col("_id")) & (left["_sha"] == F.col("_text"))
+        left = left.join(tied, same, "left_anti").unionByName(left.join(tied, same, "left_semi").dropDuplicates(["doc_id", "_sha"]))
+    return left.drop("_sha")

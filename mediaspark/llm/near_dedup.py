@@ -352,6 +352,14 @@ def link(docs: DataFrame, limit: Limit = Limit()) -> DataFrame:
 
 
 def representatives(docs: DataFrame, limit: Limit = Limit()) -> DataFrame:
-    """The rows of docs that stay, one document of each component, with all their columns."""
-    gone, _ = stage(link(docs, limit).filter(~F.col("kept")).select("doc_id"), "near_copies")
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")
+    """The rows of docs that stay, one of each component, with all their columns: the smallest doc_id, rows without one last.
+
+    Where a doc_id is missing or repeats, rows are numbered in that order and linked by their numbers.
+    """
+    if docs.groupBy("doc_id").count().filter("doc_id IS NULL OR count > 1").isEmpty():
+        gone, _ = stage(link(docs, limit).filter(~F.col("kept")).select("doc_id"), "near_copies")
+        return docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")
+    rows = docs.orderBy(F.col("doc_id").asc_nulls_last(), F.sha2("text", 256)).withColumn("_row", F.monotonically_increasing_id())
+    rows, _ = stage(rows, "numbered")
+    gone, _ = stage(link(rows.select(F.col("_row").alias("doc_id"), "text"), limit).filter(~F.col("kept")).select(F.col("doc_id").alias("_row")), "near_copies")
+    return rows.join(gone, "_row", "left_anti").drop("_row")

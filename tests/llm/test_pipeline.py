@@ -28,3 +28,16 @@ def test_stages_keep_what_they_should(spark, sf_dir):
     assert {r["doc_id"] for r in last.select("doc_id").distinct().collect()} == ids
     enc = packing.Encoder(packing.default_tokenizer())
     assert last.agg({"length": "sum"}).first()[0] == sum(len(enc.direct(texts[i])) // 4 + 1 for i in ids)
+
+
+def test_copies_go_by_row(spark):
+    """Rows without a doc_id, and with one that repeats, lose only the copies among them."""
+    long = " ".join(f"w{k}" for k in range(300))
+    rows = [(None, "a copy", 0), (1, "a copy", 1), (None, "unique", 2), (5, "first text", 3), (5, "a second", 4), (9, "first text", 5), (None, "twice", 6), (None, "twice", 7), (3, "same row", 8), (3, "same row", 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n long")
+    kept = corpus_pipeline.drop_copies(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert sorted((r["text"], r["doc_id"] or 0) for r in kept.collect()) == [("a copy", 1), ("a second", 5), ("first text", 9), ("same row", 3), ("twice", 0), ("unique", 0)]
+    near = [(None, long + " x", 0), (4, long + " y", 1), (4, "other words here", 2), (None, "more words", 3), (2, long, 4)]
+    kept = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(near, "doc_id long, text string, n long"), "")
+    assert sorted(r["n"] for r in kept.collect()) == [2, 3, 4] and kept.columns == docs.columns
