@@ -13,8 +13,11 @@ from mediaspark.llm import common, decontaminate, exact_dedup, language_id, near
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language: those that are rejected as of none (without text or without a letter) go. Learned from docs itself."""
-    scored = language_id.predict(docs, language_id.train(docs))
+    """Documents with a language: those that are rejected as of none (without text or without a letter) go. Learned from docs itself; where nothing can be learned, all with a letter stay."""
+    model = language_id.train(docs)
+    if model is None:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
+    scored = language_id.predict(docs, model)
     return scored.filter(F.col("lang_pred") != language_id.UNKNOWN).select(*docs.columns)
 
 

@@ -41,3 +41,9 @@ def test_copies_go_by_row(spark):
     near = [(None, long + " x", 0), (4, long + " y", 1), (4, "other words here", 2), (None, "more words", 3), (2, long, 4)]
     kept = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(near, "doc_id long, text string, n long"), "")
     assert sorted(r["n"] for r in kept.collect()) == [2, 3, 4] and kept.columns == docs.columns
+
+
+def test_documents_without_labels_stay(spark):
+    rows = [(1, "some words", None), (2, "日本", None), (3, "12 !", None), (4, None, None), (5, "", None)]
+    kept = corpus_pipeline.identify_language(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string"), "")
+    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 2]
