@@ -24,8 +24,11 @@ HOT_SHARE = 1000
 # -- stage tables -------------------------------------------------------------------------------
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a local one only where it is unset."""
-    return spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+    """The folder that the cluster names in spark.checkpoint.dir; a local one only where it is unset and all runs on this machine."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path and not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return path or "/tmp/checkpoints"
 
 
 def _path(spark: SparkSession, path: str):

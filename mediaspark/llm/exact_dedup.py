@@ -2,12 +2,13 @@
 
 A text is cut where the hash of an 8-byte window has CUT_BITS leading zeros, so equal passages are cut alike.
 Chunks get 128-bit identifiers; one pass moves each distinct chunk of a task once and verifies that an
-identifier stands for one byte string. Documents are then compared by their ordered identifier lists (and
-the SHA-256 of the text), 16 bytes a chunk, so that long texts move no second time.
+identifier stands for one byte string. Documents are then compared by their ordered identifier lists alone,
+16 bytes a chunk, so that long texts move no second time; equal lists of verified identifiers are equal texts.
 
 Defined results: null text counts as empty; the empty text has an empty recipe and forms a group like any
 other; rows that repeat a doc_id and a text all carry the same decision; a null doc_id is kept only if its
-group has no other; an empty table gives an empty table. Other columns are not read.
+group has no other; of ties the largest doc_id stays; a very long text is cut into as many chunks, and its list is
+as much longer; an empty table gives an empty table. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mediaspark.llm.common import drop, hot_join, slices, stage, text_buffer
+from mediaspark.llm.common import hot_join, slices, stage, text_buffer
 
 #: A cut every 2 ** CUT_BITS bytes on average, and after LONGEST bytes without one.
 CUT_BITS, LONGEST = 11, 1 << 16
@@ -107,9 +108,7 @@ def groups(docs: DataFrame) -> DataFrame:
     strong = not verified(docs)
     if strong and not verified(docs, True):
         raise ValueError("two chunks share a SHA-256")
-    rows, path = stage(recipes(docs, strong).select("doc_id", "text_sha256", F.sha2("recipe", 256).alias("recipe")), "recipes")
-    key = F.concat("recipe", "text_sha256")
-    rows = rows.select("doc_id", "text_sha256", key.alias("_group"))
+    rows, _ = stage(recipes(docs, strong).select("doc_id", "text_sha256", F.col("recipe").alias("_group")), "recipes")
     sizes = rows.groupBy("_group").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
     out = hot_join(rows, sizes, "_group", "group_size", rows.count())
     return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")

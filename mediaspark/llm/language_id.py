@@ -4,11 +4,13 @@ A text is a run of windows of WINDOW bytes, STRIDE apart, so that every filter p
 seen once. Bytes are embedded, filters of the WIDTHS slide over them, each filter's maximum over the window
 goes through a softmax, and the windows' probabilities are averaged by their bytes.
 
-The network learns from a bounded sample: at most PER_LANGUAGE documents a language, chosen by a hash of the
-text, EXCERPTS excerpts of each. Nothing but the text's bytes is an input of a prediction.
+The network learns from a bounded sample: at most PER_LANGUAGE documents of each of the LANGUAGES most frequent
+languages, chosen by a hash of text and doc_id (so that a much copied text counts as often as it occurs), EXCERPTS
+excerpts of each. Nothing but the text's bytes is an input of a prediction.
 
 Defined results: null text, and text without a letter, is `und` with score 0; where no labelled row can be
-learned from, every text is `und`. Rows that repeat each get their prediction. Other columns pass through,
+learned from, every text is `und`. Of tied languages the first by name is told; a very long text is windowed
+whole. An empty table gives an empty table. Rows that repeat each get their prediction. Other columns pass through,
 but for columns named lang_pred and score, which are replaced.
 """
 
@@ -137,9 +139,9 @@ def sample(docs: DataFrame, usable: Column, per_language: int = PER_LANGUAGE) ->
     rows = docs.filter(usable & F.col("lang").isNotNull() & (F.length("text") > 0))
     share = rows.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(3.0 * per_language) / F.count("*")).alias("_share"))
     share = docs.sparkSession.createDataFrame(share.orderBy("_share", "lang").limit(LANGUAGES).collect(), share.schema)
-    draw = F.xxhash64(F.lit("sample"), "text")
+    draw = F.xxhash64(F.lit("sample"), "text", "doc_id")
     some = rows.join(F.broadcast(share), "lang").filter(F.pmod(draw, F.lit(1 << 20)) < F.col("_share") * (1 << 20))
-    at = [1 + F.pmod(F.xxhash64(F.lit(k), "text"), F.greatest(F.lit(1), F.length("text") - WINDOW)).cast("int") for k in range(EXCERPTS)]
+    at = [1 + F.pmod(F.xxhash64(F.lit(k), "text", "doc_id"), F.greatest(F.lit(1), F.length("text") - WINDOW)).cast("int") for k in range(EXCERPTS)]
     some = some.select("lang", draw.alias("_draw"), F.array(*[F.substring("text", a, F.lit(WINDOW)) for a in at]).alias("_cut"))
     top = some.withColumn("_n", F.row_number().over(Window.partitionBy("lang").orderBy("_draw"))).filter(F.col("_n") <= per_language)
     got = sorted((r["lang"], r["_draw"], r["_cut"]) for r in top.select("lang", "_draw", "_cut").collect())

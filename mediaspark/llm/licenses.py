@@ -11,8 +11,8 @@ and confirmed in the same way, so a wrapped notice is one licence paragraph.
 The examples are made from the templates (words dropped, replaced and surrounded, seeded) and from a bounded
 sample of the corpus: NEGATIVES paragraphs, chosen by a hash, without the word stems that all licences share.
 
-Defined results: null and empty texts have no paragraphs and no licence; rows that repeat each get their row;
-an empty table gives an empty table and the templates alone are learned from. Columns other than doc_id and
+Defined results: null and empty texts have no paragraphs and no licence; rows that repeat each get their row; of
+tied families the first by name is told; a very long text is searched whole; an empty table gives an empty table and the templates alone are learned from. Columns other than doc_id and
 text are not read.
 """
 
@@ -42,8 +42,12 @@ TEMPLATES = {
     "cc-by-nc": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
     "cc-by-sa": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "Text is available under the Creative Commons Attribution-ShareAlike License."],
     "cc0": ["To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.", "Released under CC0 1.0 Universal public domain dedication."],
+    "boost": ["Distributed under the Boost Software License, Version 1.0.", "SPDX-License-Identifier: BSL-1.0"],
+    "epl": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0.", "SPDX-License-Identifier: EPL-2.0"],
     "gpl": ["This work is licensed under the GNU General Public License, version 3.", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
             "SPDX-License-Identifier: GPL-3.0-or-later", "Licensed under the GNU General Public License, version 2."],
+    "isc": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+            "Licensed under the ISC License.", "SPDX-License-Identifier: ISC"],
     "lgpl": ["This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation.",
              "Licensed under the GNU Lesser General Public License, version 2.1.", "SPDX-License-Identifier: LGPL-2.1-only"],
     "mit": ["Released under the MIT License.", "Licensed under the MIT License.", "SPDX-License-Identifier: MIT",

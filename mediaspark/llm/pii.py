@@ -8,8 +8,9 @@ a span is added at its kind's threshold, the best of overlapping ones, and never
 The trees learn from examples made here from formats and contexts with a fixed seed (no table has span
 labels); a part left out of the fit sets for each kind the least threshold with PRECISION.
 
-Defined results: null text counts as empty, and has no span; rows that repeat each get their row; an empty
-table gives an empty table. Positions are code points, ends exclusive. Columns other than doc_id and text are
+Defined results: null text counts as empty, and has no span; rows that repeat each get their row; of overlapping
+proposals with one score the first by place and kind stays; a very long text is searched whole, in time that grows
+as its length; an empty table gives an empty table. Positions are code points, ends exclusive. Columns other than doc_id and text are
 not read.
 """
 
@@ -17,7 +18,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -188,16 +191,21 @@ def added_spans(texts: list[str], base: list[list[Span]], model: Model) -> list[
     """The accepted proposals of each text, none over a base span or another accepted one."""
     open_: list[tuple[int, Span]] = []
     for k, text in enumerate(texts):
+        own = sorted(base[k])
+        begins, ends = [b[0] for b in own], list(accumulate((b[2] for b in own), max))
         for s in proposals(text):
-            if not any(s[0] < b[2] and b[0] < s[2] for b in base[k]):
+            before = bisect_left(begins, s[2])  # base spans that begin before its end
+            if not before or ends[before - 1] <= s[0]:
                 open_.append((k, s))
     out: list[list[Span]] = [[] for _ in texts]
     if open_:
         p = model.trees.probability(np.array([features(texts[k], s) for k, s in open_], float))
         ranked = sorted(zip(-p, open_), key=lambda x: (x[1][0], x[0], x[1][1]))
         for score, (k, s) in ranked:
-            if -score >= model.thresholds[s[1]] and not any(s[0] < t[2] and t[0] < s[2] for t in out[k]):
-                out[k].append(s)
+            if -score >= model.thresholds[s[1]]:
+                at = bisect_left(out[k], s)
+                if (not at or out[k][at - 1][2] <= s[0]) and (at == len(out[k]) or s[2] <= out[k][at][0]):
+                    out[k].insert(at, s)
     return out
 
 

@@ -7,18 +7,20 @@ in the same document.
    only the first goes on.
 2. Each window's anchor, a phrase of WIDTH words chosen by content, is sorted over the corpus; phrases that
    recur in another text or within one are confirmed by their neighbours in the order.
-3. The recurring phrases of each shard of documents (an Arrow batch) are compiled into an Aho-Corasick
-   automaton over word numbers, and the shard's documents are streamed through it to locate every occurrence.
-   A document is in one shard, and a phrase in each shard that has it, so no automaton holds more phrases
-   than its shard's documents and a phrase of a third of the corpus is one phrase a shard.
+3. Of each confirmed phrase a document tells one place where it stands. The phrases of each shard of documents (a
+   slice of bounded bytes) are compiled from those places into an Aho-Corasick automaton over word numbers, and the
+   shard's documents are streamed through it; its hits alone locate the occurrences. A document is in one shard, and
+   a phrase in each shard that has it, so no automaton holds more phrases than its shard's documents have and a
+   phrase of a third of the corpus is one phrase a shard. A document without a confirmed phrase has none to locate.
 4. The windows around located phrases are compared exactly (128 bits of the word sequence), again as
    neighbours in a sorted order; every one but the first of its kind is marked. A range-partitioned sort by
    (window, document, place) splits any hot window over many tasks.
 5. The marked words are cut out.
 
 Defined results: null text has no words; texts shorter than a window keep all; rows that share a doc_id count
-as one document for the order, and equal rows get equal results; a null doc_id comes before all others; an
-empty table gives an empty table. Other columns are not read.
+as one document for the order, and equal rows get equal results; a null doc_id comes before all others; of equal
+windows the first by (doc_id, start) stays; a very long text is a slice of its own; an empty table gives an empty
+table. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -48,8 +50,8 @@ def _kept(w: Words, doc: int, keep: np.ndarray | None, raw: bytes) -> str:
 
 
 def profiles(docs: DataFrame) -> DataFrame:
-    """doc, n_words, whole_sha256, sequence (an identifier of the word sequence), anchors (distinct), twice (those that the text has again)."""
-    schema = pa.schema([("doc", pa.int64()), ("n_words", pa.int64()), ("whole_sha256", pa.string()), ("sequence", pa.binary()), ("anchors", pa.list_(pa.int64())), ("twice", pa.list_(pa.int64()))])
+    """doc, n_words, whole_sha256, sequence (an identifier of the word sequence), anchors (distinct), places (one of each), twice (whether the text has it again)."""
+    schema = pa.schema([("doc", pa.int64()), ("n_words", pa.int64()), ("whole_sha256", pa.string()), ("sequence", pa.binary()), ("anchors", pa.list_(pa.int64())), ("places", pa.list_(pa.int32())), ("twice", pa.list_(pa.bool_()))])
 
     def run(batches):
         for batch in batches:
@@ -57,35 +59,37 @@ def profiles(docs: DataFrame) -> DataFrame:
                 w = Words(part.column(1))
                 raw = w.data.tobytes()
                 h, low = w.anchors(WIDTH, WINDOW)
-                ok = w.inside(WINDOW)
-                # Places that are the anchor of some window: the first with the window's smallest hash.
                 rows = []
                 for d in range(w.n):
                     a, b = int(w.first[d]), int(w.first[d + 1])
-                    anchors = again = np.zeros(0, np.uint64)
+                    anchors, places, again = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, bool)
                     if b - a >= WINDOW:
                         anchors = np.unique(low[a:b - WINDOW + 1])
-                        own = np.sort(h[a:b - WIDTH + 1])
-                        again = anchors[np.searchsorted(own, anchors, "right") - np.searchsorted(own, anchors, "left") > 1]
-                    rows.append((b - a, _kept(w, d, None, raw), xxhash.xxh3_128_digest(w.hash[a:b].tobytes()), anchors.view(np.int64), again.view(np.int64)))
-                del ok
-                yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array([r[k] for r in rows], schema.field(k + 1).type) for k in range(5)]], schema=schema)
+                        grams = h[a:b - WIDTH + 1]
+                        order = np.argsort(grams, kind="stable")
+                        own = grams[order]
+                        begin = np.searchsorted(own, anchors, "left")
+                        places, again = order[begin].astype(np.int32), np.searchsorted(own, anchors, "right") - begin > 1
+                    rows.append((b - a, _kept(w, d, None, raw), xxhash.xxh3_128_digest(w.hash[a:b].tobytes()), anchors.view(np.int64), places, again))
+                yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array([r[k] for r in rows], schema.field(k + 1).type) for k in range(6)]], schema=schema)
 
-    return docs.select("doc", "text").mapInArrow(run, "doc long, n_words long, whole_sha256 string, sequence binary, anchors array<long>, twice array<long>")
+    return docs.select("doc", "text").mapInArrow(run, "doc long, n_words long, whole_sha256 string, sequence binary, anchors array<long>, places array<int>, twice array<boolean>")
 
 
 def recurring(first: DataFrame) -> DataFrame:
-    """(doc, anchors): for each text the anchors that another text has, or that it has again.
+    """(doc, places): for each text one place of each anchor that another text has, or that it has again.
 
     Neighbours in the order by (anchor, doc) tell; the first and the last anchor of a partition count as
     recurring, as their neighbours may be elsewhere.
     """
-    rows = first.select("doc", F.explode("anchors").alias("anchor"), F.lit(False).alias("again"))
-    rows = rows.unionByName(first.select("doc", F.explode("twice").alias("anchor"), F.lit(True).alias("again")))
+    at = F.explode(F.arrays_zip("anchors", "places", "twice")).alias("_at")
+    every = first.select("doc", at).select("doc", F.col("_at.anchors").alias("anchor"), F.col("_at.places").alias("place"), F.col("_at.twice").alias("twice"))
+    # What a text has again stands next to itself in the order.
+    rows = every.select("doc", "place", F.explode(F.when(F.col("twice"), F.array("anchor", "anchor")).otherwise(F.array("anchor"))).alias("anchor"))
     rows = rows.repartitionByRange("anchor", "doc").sortWithinPartitions("anchor", "doc")
 
-    def emit(doc, anchor):
-        return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(anchor)], ["doc", "anchor"])
+    def emit(doc, place):
+        return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(place, pa.int32())], ["doc", "place"])
 
     def run(batches):
         hold = None  # the rows of the last anchor so far
@@ -93,48 +97,44 @@ def recurring(first: DataFrame) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            doc, anchor = (batch.column(k).to_numpy() for k in (0, 1))
+            doc, anchor, place = (batch.column(k).to_numpy() for k in range(3))
             if hold is not None:
-                doc, anchor = np.concatenate([hold[0], doc]), np.concatenate([hold[1], anchor])
+                doc, anchor, place = (np.concatenate([x, y]) for x, y in zip(hold, (doc, anchor, place)))
             change = np.flatnonzero(np.diff(anchor)) + 1
             last = int(change[-1]) if len(change) else 0
             if last == 0:
                 # One anchor so far: two rows settle it, and all but one can go.
                 if len(doc) > 1:
-                    yield emit(doc[:-1], anchor[:-1])
-                    hold, head = (doc[-1:], anchor[-1:]), True
+                    yield emit(doc[:-1], place[:-1])
+                    hold, head = (doc[-1:], anchor[-1:], place[-1:]), True
                 else:
-                    hold = (doc, anchor)
+                    hold = (doc, anchor, place)
                 continue
             start = np.concatenate([[0], change[:-1]])
             size = np.diff(np.append(start, last))
             take = size > 1
             take[0] |= head
             own = np.repeat(take, size)
-            yield emit(doc[:last][own], anchor[:last][own])
-            hold, head = (doc[last:], anchor[last:]), False
+            yield emit(doc[:last][own], place[:last][own])
+            hold, head = (doc[last:], anchor[last:], place[last:]), False
         if hold is not None:
-            yield emit(*hold)
+            yield emit(hold[0], hold[2])
 
-    return rows.select("doc", "anchor").mapInArrow(run, "doc long, anchor long").groupBy("doc").agg(F.collect_set("anchor").alias("anchors"))
+    return rows.select("doc", "anchor", "place").mapInArrow(run, "doc long, place int").groupBy("doc").agg(F.collect_set("place").alias("places"))
 
 
-def locate(w: Words, h: np.ndarray, wanted: list[np.ndarray]) -> np.ndarray:
-    """Whether a wanted phrase of its document's shard begins at each word, found by streaming the shard through an automaton."""
+def locate(w: Words, places: np.ndarray) -> np.ndarray:
+    """Whether one of the phrases that stand at places begins at each word, found by streaming all texts through an automaton."""
     hit = np.zeros(len(w.hash), bool)
-    every = np.unique(np.concatenate(wanted)) if wanted else np.zeros(0, np.uint64)
-    inside = w.inside(WIDTH)
-    place = np.flatnonzero(inside & np.isin(h, every))
-    if not len(place):
+    if not len(places):
         return hit
     _, code = np.unique(w.hash, return_inverse=True)
     code = (code + 1).astype(np.uint32)
     code[code >= 0xD800] += 0x800
     line = code.tobytes().decode("utf-32-le")
-    auto = ahocorasick.Automaton()
-    _, one = np.unique(h[place], return_index=True)
-    for p in place[one].tolist():
-        auto.add_word(line[p:p + WIDTH], 1)
+    auto = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+    for phrase in {line[p:p + WIDTH] for p in places.tolist()}:
+        auto.add_word(phrase)
     auto.make_automaton()
     for d in range(w.n):
         a, b = int(w.first[d]), int(w.first[d + 1])
@@ -146,15 +146,16 @@ def locate(w: Words, h: np.ndarray, wanted: list[np.ndarray]) -> np.ndarray:
 
 def candidate_windows(docs: DataFrame, phrases: DataFrame) -> DataFrame:
     """(h1, h2, doc, start) of the windows whose anchor is a located phrase."""
-    rows = docs.join(phrases, "doc").select("doc", "text", "anchors")
+    rows = docs.join(phrases, "doc").select("doc", "text", "places")
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text"):
                 w = Words(part.column(1))
                 h, low = w.anchors(WIDTH, WINDOW)
-                wanted = [np.asarray(part.column(2).flatten()).view(np.uint64)]
-                hit = locate(w, h, wanted)
+                own = np.repeat(np.arange(w.n), part.column(2).value_lengths().to_numpy().astype(np.int64))
+                at = w.first[own] + part.column(2).flatten().to_numpy()
+                hit = locate(w, at[at + WIDTH <= w.first[own + 1]])  # rows of one doc may differ in their texts
                 near = sliding_min(np.where(hit[:len(h)], h, np.uint64(0xFFFFFFFFFFFFFFFF)), WINDOW - WIDTH + 1)
                 at = np.flatnonzero(w.inside(WINDOW) & (near == low))
                 one, two = gram_hashes(w.hash, WINDOW, 61), gram_hashes(w.hash, WINDOW, 62)
@@ -195,10 +196,10 @@ def repeats(windows: DataFrame) -> DataFrame:
     marks, path = stage(rows.mapInArrow(run, "doc long, start long, h1 long, h2 long, kind int, part int"), "marks")
     ends = marks.filter("kind > 0").collect()  # two rows a partition
     heads = sorted((r["part"], r) for r in ends if r["kind"] == 1)
-    tails = {r["part"]: (r["h1"], r["h2"]) for r in ends if r["kind"] == 2}
+    tails = {r["part"]: r for r in ends if r["kind"] == 2}
     more, before = [], None
     for part, r in heads:
-        if before == (r["h1"], r["h2"]):
+        if before is not None and (before["h1"], before["h2"]) == (r["h1"], r["h2"]) and (before["doc"], before["start"]) != (r["doc"], r["start"]):
             more.append((r["doc"], r["start"]))
         before = tails[part]
     return marks.filter("kind = 0").select("doc", "start").unionByName(spark.createDataFrame(more, "doc long, start long"))

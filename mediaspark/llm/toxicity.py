@@ -5,13 +5,14 @@ its first PREFIX bytes, so that unseen forms of a known stem are recognised. Fil
 the words of the whole text, each filter's maximum over the text goes through a logistic unit.
 
 The network learns from a bounded sample of labelled rows: at most MOST documents of each label, chosen by a
-hash. A quarter of the sample is left out of the fit; on it the scores are calibrated, and a threshold is set
+hash, and of each at most WORDS words in a row, which begin at a hashed place. A quarter of the sample is left out of the fit; on it the scores are calibrated, and a threshold is set
 for each language. Languages are told from the words themselves (naive Bayes over the hashed words); the
 threshold of the told language is mapped to CUT, so that score >= CUT is the decision in every language.
 
 Defined results: null or empty text, and text without words, scores 0; where
 no labelled row can be learned from, every score is 0. Rows that repeat each get their score. Of several
-labels for a doc_id the largest counts. Other columns pass through, but for columns named score and
+labels for a doc_id the largest counts. A very long text is scored whole, by the maximum over all its words; of
+tied languages the first by name is told; an empty table gives an empty table. Other columns pass through, but for columns named score and
 predicted, which are replaced.
 """
 
@@ -29,8 +30,8 @@ from mediaspark.llm.common import ALNUM, LOWER, crc_mod, slices, text_buffer, wi
 #: Hash buckets, embedding size, filter widths and filters of each, bytes of a prefix.
 BUCKETS, DEPTH, WIDTHS, FILTERS, PREFIX = 1 << 15, 12, (1, 2, 3), 12, 5
 WIDEST = max(WIDTHS)
-#: Documents of each label to learn from at most, and passes over them.
-MOST, EPOCHS = 3000, 8
+#: Documents of each label to learn from at most, words of each, and passes over them.
+MOST, WORDS, EPOCHS = 3000, 4096, 8
 #: Texts of an update; a small sample is passed over until there were so many updates.
 BATCH, UPDATES = 24, 600
 #: Words left out in a pass, and where the sums of squared gradients of the embeddings begin.
@@ -213,7 +214,8 @@ def sample(docs: DataFrame, labels: DataFrame, usable: Column, most: int = MOST)
         for batch in batches:
             for part in slices(batch, "text"):
                 whole, stem, off = features(part.column(part.schema.get_field_index("text")))
-                lists = [pa.array([x[i:j] for i, j in zip(off, off[1:])], pa.list_(pa.int32())) for x in (whole, stem)]
+                begin = [i + int(whole[i]) * 40503 % (j - i - WORDS + 1) if j - i > WORDS else i for i, j in zip(off.tolist(), off[1:].tolist())]
+                lists = [pa.array([x[i:min(i + WORDS, j)] for i, j in zip(begin, off[1:].tolist())], pa.list_(pa.int32())) for x in (whole, stem)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), *lists], ["doc_id", "lang", "_toxic", "whole", "stem"])
 
     kinds = dict(rows.dtypes)
