@@ -15,7 +15,6 @@ not read.
 
 from __future__ import annotations
 
-import re
 import zlib
 
 import numpy as np
@@ -24,14 +23,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mediaspark.llm.common import drop, stage
+from mediaspark.llm.common import slices, stage, text_buffer
 
 CAPACITY, END = 1024, 2
-#: Known word encodings that a worker holds at most.
-CACHE = 800_000
-_BREAK = re.compile(r"(?<=\S) (?=\S)")
-_LINE = re.compile(r"(?<=\S)\n(?=\S)")
-_ODD = re.compile(r"^ | $| \s|\s ")
+#: Bytes of text that are encoded at once; a longer text is encoded alone.
+PIECE_BYTES = 4 << 20
+#: Kinds of ASCII bytes for token borders: 1 letters, 2 digits, 3 marks; 0 is white space, apostrophes and all else.
+_KIND = np.zeros(256, np.uint8)
+_KIND[33:127] = 3
+_KIND[[*range(65, 91), *range(97, 123)]], _KIND[48:58], _KIND[39] = 1, 2, 0
+_BLANK = np.arange(256) <= 0x20
+_INSIDE = np.array([0] + [(1 << 8 * k) - 1 for k in range(1, 9)], np.uint64)
 
 
 # -- tokens -------------------------------------------------------------------------------------
@@ -43,67 +45,124 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
-class Encoder:
-    """Token ids of texts as little-endian 32-bit bytes.
+def byte_kinds(data: np.ndarray) -> np.ndarray:
+    """The kind of each byte; letters of two bytes up to U+024F are letters too."""
+    kind = _KIND[data]
+    lead = np.flatnonzero((data >= 0xC3) & (data <= 0xC9))
+    second = data[lead + 1]
+    lead = lead[(data[lead] != 0xC3) | (second != 0x97) & (second != 0xB7)]
+    lead = lead[(data[lead] != 0xC9) | (data[lead + 1] < 0x90)]
+    kind[lead] = kind[lead + 1] = 1
+    return kind
+
+
+def piece_starts(data: np.ndarray, off: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    """Places where a token begins for certain, a text's start among them: whatever lies between two of them is encoded alone.
 
-    A single space between two characters that aren't white space always begins a token, so a text is
-    encoded piece by piece at those spaces and frequent pieces are remembered.
+    A single space or line break between two characters that aren't white space begins a token, and the break is
+    one by itself; so does a character after one of another kind.
     """
+    n = len(data)
+    blank = np.concatenate([[True], _BLANK[data], [True]])
+    for lead in np.flatnonzero((data == 0xC2) | (data == 0xE1) | (data == 0xE2) | (data == 0xE3)).tolist():  # further white space, or what may be
+        first, second = data[lead], data[lead + 1]
+        if first == 0xC2 and second in (0x85, 0xA0):
+            blank[lead + 1:lead + 3] = True
+        elif (first, second) in ((0xE1, 0x9A), (0xE2, 0x80), (0xE2, 0x81), (0xE3, 0x80)):
+            blank[lead + 1:lead + 4] = True
+    edge = np.zeros(n + 1, bool)
+    edge[off] = True
+    alone = ~(blank[:-2] | edge[:n]) & ~(blank[2:] | edge[1:])
+    line = alone & (data == 10)
+    start = alone & (data == 32) | line | edge[:n]
+    start[1:] |= line[:-1] | (kind[1:] != kind[:-1]) & (kind[1:] > 0) & (kind[:-1] > 0)
+    return np.flatnonzero(start)
+
+
+def equal_pieces(data: np.ndarray, starts: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, kind): a piece of each kind of equal bytes, and the kind of each piece. Pieces of up to 24 bytes are compared as three numbers."""
+    wide = np.concatenate([data, np.zeros(32, np.uint8)])
+    at8 = np.ndarray((len(wide) - 7,), "<u8", wide, 0, (1,))
+    part = [at8[starts + 8 * k] & _INSIDE[np.clip(size - 8 * k, 0, 8)] for k in range(3)]
+    h = part[0] * np.uint64(0x9E3779B97F4A7C15) + part[1] * np.uint64(0xC2B2AE3D27D4EB4F) + part[2] * np.uint64(0x165667B19E3779F9) + size.astype(np.uint64)
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    _, first, kind = np.unique(h, return_index=True, return_inverse=True)
+    rep = first[kind]
+    if all((x == x[rep]).all() for x in (*part, size)):
+        return first, kind
+    order = np.lexsort((size, *part))  # equal hashes of different pieces
+    new = np.ones(len(order), bool)
+    new[1:] = np.any([x[order][1:] != x[order][:-1] for x in (*part, size)], axis=0)
+    kind = np.empty(len(order), np.int64)
+    kind[order] = np.cumsum(new) - 1
+    return order[new], kind
+
+
+class Encoder:
+    """Token ids of texts. The pieces of a batch are grouped, and each kind of piece is encoded once; nothing is kept."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
-        letters = _byte_letters()
-        self.letters = {b: letters[b] for b in range(256)}
-        self.marks = {c: self.direct(c) for c in ".,"}
-        self.line = self.direct("\n")
-        self.known, self.bare = _Known(self, " "), _Known(self, "")
-
-    def direct(self, text: str) -> bytes:
-        return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def word(self, letters: str, lead: str) -> bytes:
-        """One run of letters after a lead of a space or nothing."""
-        mapped = letters if letters.isascii() else "".join(map(self.letters.__getitem__, letters.encode()))
-        return np.array([t.id for t in self.whole.model.tokenize(lead and self.letters[32] + mapped or mapped)], "<u4").tobytes()
-
-    def piece(self, piece: str, known: "_Known") -> bytes:
-        """A piece after its lead; a mark at its end and a line break inside it are tokens of their own."""
-        plain = piece[:-1].isalpha() and max(piece) < "\u0250"
-        if plain and piece[-1].isalpha():
-            return self.word(piece, known.lead)
-        if plain and piece[-1] in self.marks:
-            return known[piece[:-1]] + self.marks[piece[-1]]
-        if "\n" in piece:
-            first, *rest = _LINE.split(piece)
-            if rest:  # none of the parts has such a break again
-                return known[first] + b"".join(self.line + self.bare[x] for x in rest)
-        return self.direct(known.lead + piece)
-
-    def encode(self, text: str) -> bytes:
-        if any(s in text for s in self.special):
-            return self.direct(text)
-        pieces = _BREAK.split(text) if _ODD.search(text) else text.split(" ")
-        return self.bare[pieces[0]] + b"".join(map(self.known.__getitem__, pieces[1:]))
-
-
-class _Known(dict):
-    """Encodings of pieces after one lead, made as they are asked for; at most CACHE, those asked for lately."""
-
-    def __init__(self, encoder: Encoder, lead: str):
-        super().__init__()
-        self.encoder, self.lead, self.older = encoder, lead, {}
-
-    def __missing__(self, piece: str) -> bytes:
-        got = self.older.get(piece) or self.encoder.piece(piece, self)
-        if len(piece) < 64 and "\n" not in piece:
-            if len(self) >= CACHE // 2:  # what isn't asked for again by the next time goes
-                self.older = dict(self)
-                self.clear()
-            self[piece] = got
-        return got
+        self.special = [t.content.encode() for t in self.whole.get_added_tokens_decoder().values()]
+        self.letters = {b: c for b, c in _byte_letters().items() if b != 10}
+
+    def direct(self, text: str) -> list[int]:
+        return self.whole.encode(text, add_special_tokens=False).ids
+
+    def _words(self, data: np.ndarray, raw: bytes, kind: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids of all pieces one after another, where those of each piece begin, how many they are).
+
+        A piece of one kind of characters, after a space or none, is one word of the vocabulary's model.
+        """
+        odd = np.concatenate([[0], np.cumsum(kind == 0)])
+        lead = data[starts] == 32
+        plain = (odd[ends] - odd[starts] == lead) & (ends - starts > lead)
+        order = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])
+        raws = [raw[i:j] for i, j in zip(starts[order].tolist(), ends[order].tolist())]
+        n = int(plain.sum())
+        ids: list[int] = []
+        count: list[int] = []
+        tokenize = self.whole.model.tokenize
+        for word in b"\n".join(raws[:n]).decode("latin-1").translate(self.letters).split("\n") if n else ():
+            got = [t.id for t in tokenize(word)]
+            ids += got
+            count.append(len(got))
+        for x in raws[n:]:
+            got = self.direct(x.decode())
+            ids += got
+            count.append(len(got))
+        size, base = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
+        size[order] = count
+        base[order] = np.cumsum(count) - count
+        return np.array(ids, np.uint32), base, size
+
+    def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Texts (bytes and the offsets into them) -> their ids, one text after another, and the offsets into those."""
+        raw, n = data.tobytes(), len(off) - 1
+        if not len(data):
+            return np.zeros(0, np.uint32), np.zeros(n + 1, np.int64)
+        kind = byte_kinds(data)
+        starts = piece_starts(data, off, kind)
+        ends = np.append(starts[1:], len(data))
+        size = ends - starts
+        long, short = np.flatnonzero(size > 24), np.flatnonzero(size <= 24)
+        first, same = equal_pieces(data, starts[short], size[short])
+        which = np.empty(len(starts), np.int64)
+        which[short], which[long] = same, len(first) + np.arange(len(long))
+        own = np.concatenate([short[first], long])
+        pool, base, count = self._words(data, raw, kind, starts[own], ends[own])
+        base, count = base[which], count[which]
+        done = np.concatenate([[0], np.cumsum(count)])
+        ids = pool[np.repeat(base - done[:-1], count) + np.arange(done[-1])]
+        at = done[np.searchsorted(starts, off)]
+        if any(x in raw for x in self.special):
+            texts = [raw[i:j] for i, j in zip(off.tolist(), off[1:].tolist())]
+            lists = [np.array(self.direct(t.decode()), np.uint32) if any(x in t for x in self.special) else ids[i:j] for t, i, j in zip(texts, at.tolist(), at[1:].tolist())]
+            ids, at = np.concatenate(lists), np.concatenate([[0], np.cumsum([len(x) for x in lists])])
+        return ids, at
 
 
 _encoders: dict[str, Encoder] = {}
@@ -135,21 +194,21 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = No
         seen = np.zeros(capacity + 1, np.int64)
         end = np.array([END], "<u4").tobytes()
         for batch in batches:
-            rows: list[tuple] = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                raw = enc.encode(text.as_py() or "") + end
-                total = len(raw) // 4
-                at, k = 0, 0
-                length = total if total <= capacity else total % capacity or capacity
-                while at < total:
-                    ids = raw[4 * at:4 * (at + length)]
-                    rows.append((doc_id, k, at, length, zlib.crc32(ids), part, int(seen[length]), ids if keep_ids else None))
-                    seen[length] += 1
-                    at, k, length = at + length, k + 1, capacity
-                if len(rows) >= 20_000:
-                    yield _batch(rows)
-                    rows = []
-            yield _batch(rows)
+            for some in slices(batch, "text", PIECE_BYTES):
+                rows: list[tuple] = []
+                ids, off = enc.encode(*text_buffer(some.column(1)))
+                raw = ids.tobytes()
+                for doc_id, i, j in zip(some.column(0).to_pylist(), off.tolist(), off[1:].tolist()):
+                    total = j - i + 1
+                    at, k = 0, 0
+                    length = total if total <= capacity else total % capacity or capacity
+                    while at < total:
+                        last = at + length == total
+                        one = raw[4 * (i + at):4 * (i + at + length - last)] + (end if last else b"")
+                        rows.append((doc_id, k, at, length, zlib.crc32(one), part, int(seen[length]), one if keep_ids else None))
+                        seen[length] += 1
+                        at, k, length = at + length, k + 1, capacity
+                yield _batch(rows)
 
     kind = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long, ids binary"
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, kind)
