@@ -1,22 +1,29 @@
 """Repeated passages by sparse suffix arrays.
 
-A passage of at least LENGTH words that occurs twice is found. Suffixes are kept only at anchors: of every
-WINDOW words the place of the smallest hash of a run of WIDTH words, so equal passages of LENGTH words keep
-equal suffixes, about one in twenty places. A suffix is represented by the hashes of its first KEY words; the
-whole corpus's suffixes are sorted by a range partition over (suffix, document, place), which splits suffixes
-that a third of the corpus shares. Each suffix is compared with the NEAR before it; those that agree on WIDTH
-words are seeds. Where more than NEAR + 1 suffixes share WIDTH words, neighbours are not enough: the windows of
-LENGTH words that have such an anchor are hashed, which takes in the words before the anchor and all those after
-it, and each is compared with the first equal window. Seeds of two documents on one diagonal are one alignment, which is extended to the left and
-to the right on the words of both texts, and kept if LENGTH words agree.
-
-Texts of one word sequence are a group: one stands for all and is aligned; the others are reported as whole
+Found are the stretches of a document's words that are covered by windows of LENGTH words which occur elsewhere,
+in another document or at another place of the same one. Suffixes are kept only at anchors: of every window the
+place of the smallest hash of a run of WIDTH words, so equal windows keep equal suffixes, about one in twenty
+places.
+
+1. A suffix is represented by the hashes of its first KEY words; all suffixes are sorted by a range partition over
+   (suffix, document, place), which splits suffixes that a third of the corpus shares. Neighbours that agree on
+   WIDTH words are a run; a suffix that is alone goes.
+2. The members of a run of at most MOST suffixes are all compared with each other: their words are extended to the
+   left and to the right as far as a window around the anchor can reach, and count if LENGTH words agree.
+3. In a longer run, and in one that a partition's end cuts, the words after the anchor don't tell which members
+   agree before it. There the suffixes that begin at the windows themselves are retained: every window with such an
+   anchor is sorted by the 128-bit hash of its LENGTH words, and neighbours that agree are repeats. This loses nothing
+   and costs one row a window, never a pair of members.
+4. What was found is merged into stretches, document by document.
+
+Texts of one word sequence are a group: one stands for all and is compared; the others are reported as whole
 repeats of it.
 
-Defined results: null text has no words; a passage may repeat within a document (also overlapping itself);
-rows that share a doc_id count as one document, of which the longest text (then the largest) is read; a null
-doc_id is a document like others, reported as null; an empty table gives an empty table. Other columns are
-not read.
+Defined results: null text has no words, and texts of fewer than LENGTH words have no rows; a passage may repeat
+within a document (also overlapping itself); of rows that share a doc_id the longest text (then the largest) is
+read; a null doc_id is a document like others, reported as null; of equal candidates for the other place the
+smallest is told; a very long text is a slice of its own, and its suffixes are as many rows; an empty table gives
+an empty table. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -24,15 +31,14 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mediaspark.llm.common import drop, hot_join, slices, stage
+from mediaspark.llm.common import drop, gram_hashes, hot_join, slices, stage
 from mediaspark.llm.passages import Words
 
-LENGTH, WIDTH, KEY, NEAR = 50, 10, 16, 2
+LENGTH, WIDTH, KEY, MOST = 50, 10, 16, 4
 WINDOW = LENGTH
 FIRST = -(1 << 63)
 
@@ -82,179 +88,213 @@ def suffixes(docs: DataFrame) -> DataFrame:
     return docs.select("doc", "text").mapInArrow(run, "doc long, n_words long, sequence binary, places array<int>, keys binary")
 
 
-def crowded(first: DataFrame) -> DataFrame:
-    """(doc, places): the anchors whose WIDTH words more than NEAR + 1 anchors have."""
-    at = F.posexplode("places").alias("_k", "place")
-    rows = first.select("doc", "keys", at).select("doc", "place", F.xxhash64(F.substring("keys", F.col("_k") * (4 * KEY) + 1, F.lit(4 * WIDTH))).alias("key"))
-    many = rows.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > NEAR + 1)
-    return hot_join(rows, many, "key", "n", rows.count()).filter("n IS NOT NULL").groupBy("doc").agg(F.collect_set("place").alias("places"))
-
-
-def windows(docs: DataFrame, first: DataFrame) -> DataFrame:
-    """(a, b, pa, pb): each window of LENGTH words with a crowded anchor, and the first that equals it."""
-
-    def run(batches):
-        for batch in batches:
-            for part in slices(batch, "text"):
-                w = Words(part.column(1))
-                place = window_anchors(*w.anchors(WIDTH, WINDOW), w.inside(WINDOW), WINDOW - WIDTH + 1)
-                some = np.zeros(len(w.doc), bool)
-                for d, places in enumerate(part.column(2)):
-                    at = w.first[d] + np.array(places.as_py(), np.int64)
-                    some[at[at < w.first[d + 1]]] = True
-                start = np.flatnonzero(place >= 0)
-                start = start[some[place[start]]]
-                own = w.doc[start]
-                gram = w.grams(LENGTH)[start].view(np.int64) if len(start) else np.zeros(0, np.int64)
-                doc = part.column(0).to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_arrays([pa.array(doc[own], pa.int64()), pa.array(start - w.first[own], pa.int64()), pa.array(gram)], ["doc", "start", "gram"])
-
-    texts = docs.join(crowded(first), "doc").select("doc", "text", "places")
-    rows, _ = stage(texts.mapInArrow(run, "doc long, start long, gram long"), "windows")
-    equal = rows.groupBy("gram").agg(F.min(F.struct("doc", "start")).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    found = hot_join(rows, equal, "gram", "n", rows.count()).filter("n IS NOT NULL").select(F.col("first.doc").alias("a"), F.col("doc").alias("b"), F.col("first.start").alias("pa"), F.col("start").alias("pb"))
-    return found.filter("a <> b OR pa <> pb")
-
-
-def seeds(docs: DataFrame, first: DataFrame) -> DataFrame:
-    """(a, b, places): for each pair of documents the places in a and b of one seed a diagonal, packed as 2 ** 31 * place a + place b."""
+def runs(first: DataFrame) -> DataFrame:
+    """(doc, places, run): the anchors that agree with a neighbour on WIDTH words. run is a number for each run of at most MOST, -1 for the others."""
     at = F.posexplode("places").alias("_k", "place")
     rows = first.select("doc", "keys", at).select("doc", "place", F.substring("keys", F.col("_k") * (4 * KEY) + 1, F.lit(4 * KEY)).alias("key"))
     rows = rows.repartitionByRange("key", "doc", "place").sortWithinPartitions("key", "doc", "place")
+    schema = pa.schema([("doc", pa.int64()), ("place", pa.int32()), ("run", pa.int64())])
 
     def run(batches):
-        part, n, head, tail = TaskContext.get().partitionId(), 0, None, None
+        number = TaskContext.get().partitionId() << 40
+        doc, place, key = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros((0, WIDTH), ">u4")  # the last run so far
+        whole = False  # whether its beginning is in this partition
+
+        def told(doc, place, run):
+            return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(place, pa.int32()), pa.array(run)], schema=schema)
+
         for batch in batches:
             if not batch.num_rows:
                 continue
-            doc, place = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            key = np.frombuffer(b"".join(batch.column(2).to_pylist()), ">u4").reshape(-1, KEY)[:, :WIDTH]
-            n += len(doc)
-            old = 0
-            if tail is not None:
-                old = len(tail[0])
-                doc, place, key = (np.concatenate([x, y]) for x, y in zip(tail, (doc, place, key)))
-            if head is None or len(head[0]) < NEAR:
-                head = [x[:NEAR] for x in (doc, place, key)]
-            found = []
-            for gap in range(1, NEAR + 1):
-                i = np.arange(max(0, old - gap), len(doc) - gap)
-                i = i[(key[i] == key[i + gap]).all(1)]
-                j = i + gap
-                swap = (doc[i] > doc[j]) | (doc[i] == doc[j]) & (place[i] > place[j])
-                x, y = np.where(swap, j, i), np.where(swap, i, j)
-                found.append(np.stack([doc[x], doc[y], place[x].astype(np.int64), place[y].astype(np.int64)], 1))
-            tail = [doc[-NEAR:], place[-NEAR:], key[-NEAR:]]
-            got = np.concatenate(found)
-            none = pa.nulls(len(got), pa.int64())
-            yield pa.RecordBatch.from_arrays([*[pa.array(got[:, k]) for k in range(4)], none, none, pa.nulls(len(got), pa.binary())], _EDGE)
-        if tail is not None:
-            # The partition's first and last rows, whose neighbours may be in others.
-            ends = {k: x for x, base in ((head, 0), (tail, n - len(tail[0]))) for k, x in enumerate(zip(*x), base)}
-            rows = [(int(d), None, int(p), n, part, k, key.tobytes()) for k, (d, p, key) in ends.items()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [*[pa.int64()] * 6, pa.binary()])], _EDGE)
-
-    kind = "a long, b long, pa long, pb long, part long, nth long, key binary"
-    marks, _ = stage(rows.select("doc", "place", "key").mapInArrow(run, kind), "pairs")
-    more = _across([tuple(r) for r in marks.filter("part IS NOT NULL").select("part", "nth", "pb", "a", "pa", "key").collect()])  # 2 * NEAR rows a partition
-    pairs = marks.filter("part IS NULL").select("a", "b", "pa", "pb").unionByName(first.sparkSession.createDataFrame(more, "a long, b long, pa long, pb long"))
-    pairs = pairs.unionByName(windows(docs, first))
-    lines = pairs.groupBy("a", "b", (F.col("pb") - F.col("pa")).alias("_diagonal")).agg(F.collect_list((F.col("pa") * (1 << 31) + F.col("pb"))).alias("_p"))
-    return lines.groupBy("a", "b").agg(F.flatten(F.collect_list("_p")).alias("places"))
-
-
-_EDGE = ["a", "b", "pa", "pb", "part", "nth", "key"]
-
-
-def _across(ends: list[tuple]) -> list[tuple]:
-    """Pairs of neighbours from different partitions. ends: (partition, place in it, its rows, document, place, key)."""
-    line, begin, before = [], 0, None
-    for part, nth, n, *row in sorted(ends):
-        if before is not None and part != before[0]:
-            begin += before[1]
-        before = (part, n)
-        line.append((begin + nth, part, row))
-    out = []
-    for i, (at, part, (doc, place, key)) in enumerate(line):
-        for at2, part2, (doc2, place2, key2) in line[i + 1:i + 1 + NEAR]:
-            if part != part2 and at2 - at <= NEAR and key == key2:
-                (a, pa_), (b, pb) = sorted([(doc, place), (doc2, place2)])
-                out.append((a, b, pa_, pb))
-    return out
-
-
-def _packed(docs: DataFrame, ids: DataFrame) -> DataFrame:
+            more = np.frombuffer(b"".join(batch.column(2).to_pylist()), ">u4").reshape(-1, KEY)[:, :WIDTH]
+            doc, place, key = np.concatenate([doc, batch.column(0).to_numpy()]), np.concatenate([place, batch.column(1).to_numpy()]), np.concatenate([key, more])
+            start = np.concatenate([[0], np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1])
+            size = np.diff(np.append(start, len(doc)))
+            name = number + np.arange(len(start))
+            number += len(start)
+            take, small = size > 1, size <= MOST
+            if not whole:
+                take[0], small[0] = True, False
+            if len(start) == 1 and size[0] > MOST:  # one run so far, too long to wait for its end
+                whole = False
+            if whole or len(start) > 1:
+                take[-1] = False
+                own = np.repeat(take, size)
+                yield told(doc[own], place[own], np.repeat(np.where(small, name, -1), size)[own])
+                whole, last = True, start[-1]
+                doc, place, key = doc[last:], place[last:], key[last:]
+            else:
+                yield told(doc, place, np.full(len(doc), -1))
+                doc, place, key = doc[:0], place[:0], key[-1:][:0]
+        yield told(doc, place, np.full(len(doc), -1))
+
+    found = rows.select("doc", "place", "key").mapInArrow(run, "doc long, place int, run long")
+    return found.groupBy("doc").agg(F.collect_set(F.struct("place", "run")).alias("_at")).select("doc", F.col("_at.place").alias("places"), F.col("_at.run").alias("runs"))
+
+
+def surroundings(docs: DataFrame, at: DataFrame) -> DataFrame:
+    """(h1, h2, doc, start, words): for an anchor of a short run its run (h1), the place of the first word around it, how many words there are before the anchor (h2) and the words; else the windows of the anchor with their hashes, and no words."""
+    schema = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("doc", pa.int64()), ("start", pa.int32()), ("words", pa.binary())])
+    reach = WINDOW - WIDTH
+
     def run(batches):
-        tool = zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([tool.compress((t or "").encode()) for t in batch.column(1).to_pylist()], pa.binary())], ["doc", "packed"])
-
-    rows = docs.join(ids, "doc", "left_semi").mapInArrow(run, "doc long, packed binary")
-    # One text a doc_id: the longest, then the largest.
-    return rows.groupBy("doc").agg(F.max(F.struct(F.length("packed").alias("n"), "packed")).alias("_m")).select("doc", "_m.packed")
-
-
-def extend(x: np.ndarray, y: np.ndarray, places: list[int], same: bool) -> list[tuple[int, int, int]]:
-    """(start in x, start in y, words) of the maximal equal runs of LENGTH words or more through the seeds."""
-    out: list[tuple[int, int, int]] = []
-    done: dict[int, int] = {}
-    for p, q in sorted((v >> 31, v & ((1 << 31) - 1)) for v in places):
-        if p >= len(x) or q >= len(y) or same and p == q or done.get(q - p, -1) > p:
-            continue
-        n = min(len(x) - p, len(y) - q)
-        apart = np.flatnonzero(x[p:p + n] != y[q:q + n])
-        right = int(apart[0]) if len(apart) else n
-        m = min(p, q)
-        apart = np.flatnonzero(x[p - m:p][::-1] != y[q - m:q][::-1])
-        left = int(apart[0]) if len(apart) else m
-        done[q - p] = p + right
-        if right and left + right >= LENGTH:
-            out.append((p - left, q - left, left + right))
-    return out
-
-
-def alignments(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(doc, start, n_words, other, other_start) of the passages that each pair shares, from both sides."""
-    texts, _ = stage(_packed(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()), "texts")
-    left, right = (texts.select(F.col("doc").alias(c), F.col("packed").alias(f"_{c}")) for c in "ab")
-    rows = pairs.join(left, "a").join(right, "b").select("a", "b", "places", "_a", "_b")
+            for part in slices(batch, "text", 1 << 20):
+                w = Words(part.column(1))
+                raw, n, doc = w.data.tobytes(), len(w.doc), part.column(0).to_numpy()
+                lists = [part.column(k) for k in (2, 3)]
+                size = lists[0].value_lengths().to_numpy().astype(np.int64)
+                own = np.repeat(np.arange(w.n), size)
+                anchor, name = w.first[own] + lists[0].flatten().to_numpy(), lists[1].flatten().to_numpy()
+                few = name >= 0
+                x, d = anchor[few], own[few]
+                lo, hi = np.maximum(w.first[d], x - reach), np.minimum(w.first[d + 1], x + WINDOW)
+                words = [raw[i:j] for i, j in zip(w.starts[lo].tolist(), w.ends[hi - 1].tolist())] if len(x) else []
+                yield pa.RecordBatch.from_arrays([pa.array(name[few]), pa.array((x - lo).astype(np.int64)), pa.array(doc[d]), pa.array((lo - w.first[d]).astype(np.int32)), pa.array(words, pa.binary())], schema=schema)
+                some = np.zeros(n, bool)
+                some[anchor[~few]] = True
+                if some.any():
+                    place = window_anchors(*w.anchors(WIDTH, WINDOW), w.inside(WINDOW), reach + 1)
+                    start = np.flatnonzero(place >= 0)
+                    start = start[some[place[start]]]
+                    d = w.doc[start]
+                    one, two = (gram_hashes(w.hash, LENGTH, seed)[start].view(np.int64) for seed in (61, 62))
+                    yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(two), pa.array(doc[d]), pa.array((start - w.first[d]).astype(np.int32)), pa.nulls(len(start), pa.binary())], schema=schema)
+
+    rows = docs.join(at, "doc").select("doc", "text", "places", "runs")
+    return rows.mapInArrow(run, "h1 long, h2 long, doc long, start int, words binary")
+
+
+_FOUND = "doc long, start int, n_words int, other long, other_start int"
+_FOUND_ARROW = pa.schema([("doc", pa.int64()), ("start", pa.int32()), ("n_words", pa.int32()), ("other", pa.int64()), ("other_start", pa.int32())])
+
+
+def _found(columns: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _FOUND_ARROW)], schema=_FOUND_ARROW)
+
+
+def agreement(x: list, y: list) -> int:
+    """How many elements at the beginning of both are equal."""
+    n = min(len(x), len(y))
+    return n if x[:n] == y[:n] else next(k for k in range(n) if x[k] != y[k])
+
+
+def extended(rows: DataFrame) -> DataFrame:
+    """What the members of each short run share around their anchors, from both sides."""
 
     def run(batches):
-        tool = zstandard.ZstdDecompressor()
         for batch in batches:
-            out = []
-            for a, b, places, ta, tb in zip(*(batch.column(k) for k in range(5))):
-                a, b = a.as_py(), b.as_py()
-                w = Words(pa.array([tool.decompress(ta.as_py()), tool.decompress(tb.as_py())], pa.binary()))
-                cut = w.first[1]
-                for i, j, n in extend(w.hash[:cut], w.hash[cut:], places.as_py(), a == b):
-                    out += [(a, i, n, b, j), (b, j, n, a, i)]
-                if len(out) > 50_000:
-                    yield _passages(out)
-                    out = []
-            yield _passages(out)
-
-    return rows.mapInArrow(run, "doc long, start long, n_words long, other long, other_start long")
+            out: list[tuple] = []
+            for group in batch.column(0):
+                members = []
+                for m in group.as_py():
+                    words = m["words"].split()
+                    members.append((m["doc"], m["start"] + m["h2"], words[:m["h2"]][::-1], words[m["h2"]:]))
+                for k, (a, p, before, after) in enumerate(members):
+                    for b, q, before2, after2 in members[k + 1:]:
+                        left, right = agreement(before, before2), agreement(after, after2)
+                        if left + right >= LENGTH:
+                            out += [(a, p - left, left + right, b, q - left), (b, q - left, left + right, a, p - left)]
+            yield _found(list(zip(*out)) or [[]] * 5)
+
+    groups = rows.groupBy("h1").agg(F.collect_list(F.struct("doc", "start", "h2", "words")).alias("_m")).filter(F.size("_m") > 1)
+    return groups.select("_m").mapInArrow(run, _FOUND)
+
+
+def equal_windows(rows: DataFrame) -> DataFrame:
+    """Windows that a neighbour in the order of their hashes equals, with that neighbour."""
+    spark = rows.sparkSession
+    rows = rows.select("h1", "h2", "doc", "start").repartitionByRange("h1", "h2", "doc", "start").sortWithinPartitions("h1", "h2", "doc", "start")
 
+    def run(batches):
+        part, last = TaskContext.get().partitionId(), None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            now = [batch.column(k).to_numpy() for k in range(4)]
+            if last is None:
+                yield ends([c[:1] for c in now], 0, part)
+            else:
+                now = [np.concatenate([x, y]) for x, y in zip(last, now)]
+            h1, h2, doc, start = now
+            same = (h1[1:] == h1[:-1]) & (h2[1:] == h2[:-1])
+            i = np.flatnonzero(same)
+            first = i[~np.concatenate([[False], same])[i]]  # of a kind; the others name the one before them
+            mine, other = np.concatenate([first, i + 1]), np.concatenate([first + 1, i])
+            yield marks([doc[mine], start[mine], np.full(len(mine), LENGTH, np.int32), doc[other], start[other]])
+            last = [c[-1:] for c in now]
+        if last is not None:
+            yield ends(last, 1, part)
+
+    names = [*_FOUND_ARROW.names, "h1", "h2", "end", "part"]
+
+    def marks(columns):
+        n = len(columns[0])
+        return pa.RecordBatch.from_arrays([*[pa.array(c, f.type) for c, f in zip(columns, _FOUND_ARROW)], pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32())], names)
+
+    def ends(columns, end, part):
+        h1, h2, doc, start = columns
+        none = [pa.nulls(1, f.type) for f in (_FOUND_ARROW.field(k) for k in (2, 3, 4))]
+        return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(start, pa.int32()), *none, pa.array(h1), pa.array(h2), pa.array([end], pa.int32()), pa.array([part], pa.int32())], names)
+
+    found, _ = stage(rows.mapInArrow(run, _FOUND + ", h1 long, h2 long, end int, part int"), "equal_windows")
+    line = sorted((r["part"], r["end"], r["h1"], r["h2"], r["doc"], r["start"]) for r in found.filter("part IS NOT NULL").collect())  # two rows a partition
+    more = []
+    for x, y in zip(line, line[1:]):
+        if x[0] != y[0] and x[2:4] == y[2:4]:
+            more += [(x[4], x[5], LENGTH, y[4], y[5]), (y[4], y[5], LENGTH, x[4], x[5])]
+    return found.filter("part IS NULL").select(*_FOUND_ARROW.names).unionByName(spark.createDataFrame(more, _FOUND))
+
+
+def stretches(found: DataFrame) -> DataFrame:
+    """found merged, document by document: overlapping and touching stretches are one, which names the other place of its first words."""
 
-def _passages(rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows)) or [[]] * 5
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc", "start", "n_words", "other", "other_start"])
+    def run(batches):
+        for batch in batches:
+            size = batch.column(1).value_lengths().to_numpy()
+            flat = batch.column(1).flatten()
+            start, n, other, place = (flat.field(k).to_numpy() for k in range(4))
+            own = np.repeat(np.arange(batch.num_rows), size)
+            order = np.lexsort((place, other, start, own))
+            own, start, end, other, place = own[order], start[order].astype(np.int64), (start + n)[order].astype(np.int64), other[order], place[order]
+            far = int(end.max(initial=0)) + 2  # documents one after another, so that none touches the next
+            reach = np.maximum.accumulate(end + own * far)
+            new = np.ones(len(own), bool)
+            new[1:] = start[1:] + own[1:] * far > reach[:-1]
+            at = np.flatnonzero(new)
+            stop = reach[np.append(at[1:], len(own)) - 1] - own[at] * far if len(at) else at
+            yield _found([batch.column(0).to_numpy()[own[at]], start[at], stop - start[at], other[at], place[at]])
+
+    lists = found.groupBy("doc").agg(F.collect_list(F.struct("start", "n_words", "other", "other_start")).alias("_f"))
+    return lists.mapInArrow(run, _FOUND)
+
+
+def one_text(docs: DataFrame) -> DataFrame:
+    """(doc, text) with one text a doc: the longest, then the largest."""
+    if docs.groupBy("doc").count().filter("count > 1").isEmpty():
+        return docs
+    return docs.groupBy("doc").agg(F.max(F.struct(F.length("text").alias("n"), "text")).alias("_m")).select("doc", "_m.text")
 
 
 def passages(docs: DataFrame) -> DataFrame:
-    """doc_id, start and n_words (in words) of each repeated passage, with one place where it occurs again: other_id, other_start. Documents without one have no row."""
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST)).alias("doc"), "text")
+    """doc_id, start and n_words (in words) of each stretch that is covered by repeated windows, and other_id, other_start: a place where its first window occurs again. Documents without one have no row."""
+    docs = one_text(docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST)).alias("doc"), "text"))
     rows, rows_at = stage(suffixes(docs), "suffixes")
     groups = rows.groupBy("sequence").agg(F.min("doc").alias("first"), F.count("*").alias("n_rows"))
     known, _ = stage(hot_join(rows.select("doc", "n_words", "sequence"), groups, "sequence", "n_rows", rows.count()).select("doc", "n_words", "first"), "grouped")
-    copies = known.filter((F.col("doc") != F.col("first")) & (F.col("n_words") >= LENGTH)).select("doc", "n_words", "first").distinct()
-    leaders = rows.join(known.filter(F.col("doc") == F.col("first")).select("doc").distinct(), "doc", "left_semi")
-    pairs, _ = stage(seeds(docs, leaders), "seeds")
+    copies = known.filter((F.col("doc") != F.col("first")) & (F.col("n_words") >= LENGTH))
+    leaders = rows.join(known.filter(F.col("doc") != F.col("first")).select("doc"), "doc", "left_anti")
+    at, at_at = stage(runs(leaders), "runs")
     drop(docs.sparkSession, rows_at)
-    found = alignments(docs, pairs).distinct()
-    zero = F.lit(0).cast("long")
-    whole = copies.select("doc", zero.alias("start"), "n_words", F.col("first").alias("other"), zero.alias("other_start"))
-    led = copies.groupBy("first", "n_words").agg(F.min("doc").alias("other")).select(F.col("first").alias("doc"), zero.alias("start"), "n_words", "other", zero.alias("other_start"))
+    around, around_at = stage(surroundings(docs, at), "surroundings")
+    drop(docs.sparkSession, at_at)
+    windows = equal_windows(around.filter("words IS NULL"))
+    zero = F.lit(0)
+    led = copies.groupBy("first", F.col("n_words").cast("int").alias("n_words")).agg(F.min("doc").alias("other"))
+    led = led.select(F.col("first").alias("doc"), zero.alias("start"), "n_words", "other", zero.alias("other_start"))
+    found, _ = stage(stretches(extended(around.filter("words IS NOT NULL")).unionByName(windows).unionByName(led)), "stretches")
+    drop(docs.sparkSession, around_at)
+    whole = copies.select("doc", zero.alias("start"), F.col("n_words").cast("int").alias("n_words"), F.col("first").alias("other"), zero.alias("other_start"))
     name = lambda c: F.when(F.col(c) != FIRST, F.col(c))
-    return found.unionByName(whole).unionByName(led).select(name("doc").alias("doc_id"), "start", "n_words", name("other").alias("other_id"), "other_start")
+    place = lambda c: F.col(c).cast("long").alias(c)
+    return found.unionByName(whole).select(name("doc").alias("doc_id"), place("start"), place("n_words"), name("other").alias("other_id"), place("other_start"))
