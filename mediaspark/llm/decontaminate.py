@@ -13,8 +13,8 @@ shingle of all its words; an item without words is contained in nothing.
 Probes, candidates and items are broadcast only up to a counted size, and joined by shuffles beyond it.
 
 Defined results: null text counts as empty; rows that share a doc_id are judged each by its text and dropped
-together; repeated items give one pair an item_id; a null doc_id or item_id is a value like others; empty
-tables give empty results. Columns other than doc_id, text and item_id, text are not read.
+together; repeated items give one pair an item_id; a null doc_id or item_id is a value like others; of ties all
+are told; a very long text is searched whole; empty tables give empty results. Columns other than doc_id, text and item_id, text are not read.
 """
 
 from __future__ import annotations
@@ -79,12 +79,15 @@ def contained(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         return docs.sparkSession.createDataFrame([], f"doc_id {kinds['doc_id']}, item_id {kinds['item_id']}, n_shingles long, n_found long")
     pairs = grams.join(_small(probes, size["probes"]), ["width", "hash"]).select("doc_id", "item_id").distinct()
     pairs, _ = stage(pairs, "candidates")
-    found = docs.select(F.col("doc_id").alias("_doc"), "text").join(_small(pairs, pairs.count()), F.col("_doc").eqNullSafe(F.col("doc_id")))
+    # The words of a candidate document are found once, and written, whatever number of items and shingles they are compared with.
+    own = pairs.select(F.col("doc_id").alias("_own")).distinct()
+    line = F.concat(F.lit(" "), F.array_join(_words("text"), " "), F.lit(" "))
+    lines = docs.select(F.col("doc_id").alias("_doc"), "text").join(_small(own, own.count()), F.col("_doc").eqNullSafe(F.col("_own")), "left_semi").select("_doc", line.alias("_line"))
+    lines, _ = stage(lines, "candidate_lines")
+    found = lines.join(_small(pairs, pairs.count()), F.col("_doc").eqNullSafe(F.col("doc_id")))
     full = index.select(F.col("item_id").alias("_item"), "shingles", "n")
     full = F.broadcast(full) if size["chars"] <= BROADCAST_CHARS else full
     found = found.join(full, F.col("item_id").eqNullSafe(F.col("_item")))
-    line = F.concat(F.lit(" "), F.array_join(_words("text"), " "), F.lit(" "))
-    found = found.select("doc_id", "item_id", "n", "shingles", line.alias("_line"))
     here = F.filter("shingles", lambda s: F.contains(F.col("_line"), F.concat(F.lit(" "), s, F.lit(" "))))
     found = found.select("doc_id", "item_id", F.col("n").alias("n_shingles"), F.size(here).cast("long").alias("n_found"))
     return found.filter(F.col("n_found") * DEN >= F.col("n_shingles") * NUM).distinct()

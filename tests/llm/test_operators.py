@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from mediaspark.llm import common, decontaminate, exact_dedup, graph, language_id, licenses, near_dedup, packing, pii, registry, substring_dedup, suffix_dedup, toxicity
@@ -139,26 +140,64 @@ def test_components(spark):
     assert got == {k: 0 for k in range(1, 41)} | {200: 100, 300: 100}
 
 
-def test_suffix_passages(docs, rows):
-    words = {i: WORDS.findall(t or "") for i, t, *_ in rows}
+def stretches_by_brute_force(texts):
+    """(document, start, words) of the stretches of words in windows of 50 that occur again, and the places of each window."""
+    words = {i: WORDS.findall(t or "") for i, t in texts}
     places = collections.defaultdict(list)
     for i, w in words.items():
         for s in range(len(w) - 49):
             places[tuple(w[s:s + 50])].append((i, s))
-    want = collections.defaultdict(set)
+    covered = collections.defaultdict(set)
     for own in places.values():
         for i, s in own if len(own) > 1 else []:
-            want[i].update(range(s, s + 50))
-    got = collections.defaultdict(set)
-    for r in suffix_dedup.passages(docs).collect():
-        assert words[r["doc_id"]][r["start"]:r["start"] + r["n_words"]] == words[r["other_id"]][r["other_start"]:r["other_start"] + r["n_words"]]
-        got[r["doc_id"]].update(range(r["start"], r["start"] + r["n_words"]))
-    assert got == want
+            covered[i].update(range(s, s + 50))
+    out = set()
+    for i, c in covered.items():
+        for s in c:
+            if s - 1 not in c:
+                n = 1
+                while s + n in c:
+                    n += 1
+                out.add((i, s, n))
+    return out, words
+
+
+def passages_are_right(spark, texts):
+    want, words = stretches_by_brute_force(texts)
+    got = suffix_dedup.passages(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert len(got) == len(want) and {(r["doc_id"], r["start"], r["n_words"]) for r in got} == want
+    for r in got:
+        assert (r["doc_id"], r["start"]) != (r["other_id"], r["other_start"])
+        assert words[r["doc_id"]][r["start"]:r["start"] + 50] == words[r["other_id"]][r["other_start"]:r["other_start"] + 50]
+
+
+def test_suffix_passages(spark, rows):
+    passages_are_right(spark, [(i, t) for i, t, *_ in rows])
+
+
+def test_suffix_passages_under_a_shared_header(spark):
+    """Documents that all begin with one header of 40 words, and share 20 words with one other before or after it."""
+    rng = random.Random(11)
+    text = lambda k: " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(k))
+    header, docs = text(40), []
+    for _ in range(60):
+        own = text(20)
+        docs += [f"{header} {own} {text(30)}", f"{header} {own} {text(30)}"]
+    for _ in range(60):
+        own = text(20)
+        docs += [f"{text(5)} {own} {header} {text(30)}", f"{text(7)} {own} {header} {text(30)}"]
+    rng.shuffle(docs)
+    passages_are_right(spark, list(enumerate(docs)))
+
+
+def ids_of(enc, texts):
+    ids, off = enc.encode(*common.text_buffer(pa.array(texts, pa.string())))
+    return [ids[i:j].tolist() for i, j in zip(off, off[1:])]
 
 
 def test_packing(docs, rows):
     enc = packing.Encoder(packing.default_tokenizer())
-    ids = {i: np.frombuffer(enc.direct(t or ""), "<u4").tolist() + [2] for i, t, *_ in rows}
+    ids = {i: enc.direct(t or "") + [2] for i, t, *_ in rows}
     out = [r.asDict() for r in packing.pack(docs).collect()]
     pieces, places = collections.defaultdict(list), collections.defaultdict(list)
     for r in out:
@@ -182,7 +221,25 @@ def test_packing(docs, rows):
 def test_encoder_equals_tokenizer():
     enc = packing.Encoder(packing.default_tokenizer())
     for t in ["", " ", "a  b", "x\n\ny", "x \ny", "don't stop", "é　x  y", "<|endoftext|> hi", "a\x1cb c", "foo.\tbar, baz", "1.5 2,000 x.", "a.\nb", "...", "日本 語", "\na", "a,\n b"]:
-        assert enc.encode(t) == enc.direct(t)
+        assert ids_of(enc, [t]) == [enc.direct(t)]
+
+
+def test_encoder_on_odd_texts():
+    rng = random.Random(12)
+    parts = [" ", "  ", "\n", "\n\n", "\t", "a", "b", "é", "the", "don't", "'s", "Word", "1", "23", ".", ",", "...", "!", "\u00a0", "\u2003", "\u3000", "…", "—", "«", "中文", "😀", "<|endoftext|>", "\x1c", "\x85", "|", "E.", "x,y", "?", "ß", "ʼ", "\r\n", "\x00", "²", "Ⅷ", "ﬁ", "×", "ɐ", "%%%", "a" * 40]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 30))) for _ in range(8000)]
+    enc = packing.Encoder(packing.default_tokenizer())
+    for lo in range(0, 8000, 1000):
+        assert ids_of(enc, texts[lo:lo + 1000]) == [enc.direct(t) for t in texts[lo:lo + 1000]]
+
+
+def test_equal_pieces_survive_equal_hashes():
+    """Pieces are grouped by their bytes; many short ones of like content stay apart."""
+    data = np.frombuffer(b"ab\x00abab\x00\x00" * 50, np.uint8)
+    starts, size = np.arange(0, 300, 3), np.tile([1, 2, 3, 3], 25)
+    first, kind = packing.equal_pieces(data, starts, size)
+    pieces = [bytes(data[s:s + n]) for s, n in zip(starts, size)]
+    assert [pieces[first[k]] for k in kind] == pieces and len(first) == len(set(pieces))
 
 
 def test_packing_plan_holds_each_piece():
@@ -246,8 +303,6 @@ def test_language_is_learned():
     make = lambda alphabet: " ".join("".join(rng.choice(alphabet) for _ in range(5)) for _ in range(30)).encode()
     kinds = {"aa": "abcdefg", "bb": "hijklmé", "cc": "nopqrst"}
     texts, labels = zip(*[(make(a), k) for k, a in kinds.items() for _ in range(80)])
-    import pyarrow as pa
-
     model = language_id.fit(list(texts), list(labels))
     fresh = [(make(a).decode(), k) for k, a in kinds.items() for _ in range(20)]
     told, score = language_id.label(pa.array([t for t, _ in fresh] + [None, "", "123 !"]), model)
@@ -262,8 +317,6 @@ def test_windows_cover_every_byte():
 
 
 def test_toxicity_is_learned():
-    import pyarrow as pa
-
     rng = random.Random(7)
     plain = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(300)]
     make = lambda bad: " ".join([rng.choice(plain) for _ in range(40)] + [f"vile{rng.choice('xyz')}{rng.choice(plain)}"] * bad)
@@ -280,8 +333,6 @@ def test_toxicity_is_learned():
 
 
 def test_licences():
-    import pyarrow as pa
-
     model = licenses.fit(*licenses.examples(["the cat sat on the mat by the door"] * 200))
     texts = ["Intro line\nReleased under the MIT License.\nmore", "Licensed under the Apache License, Version 2.0.", "She renewed her driver's license last week.", "nothing here", "", None,
              "This work is licensed under the GNU General Public License, version 3.", "Licensed under CC BY-NC 4.0."]
@@ -296,20 +347,6 @@ def test_hot_keys_join_once(spark):
     assert len(got) == 4000 and got[1] == 2000 and got[2] == 1 and got[10] is None
 
 
-def test_neighbours_across_partitions():
-    """However a sorted line is cut into partitions, the pairs across the cuts are those of the whole line."""
-    rng = random.Random(8)
-    for _ in range(200):
-        line = sorted((rng.choice("ab"), k) for k in range(rng.randint(1, 12)))
-        part = sorted(rng.randrange(4) for _ in line)
-        size = collections.Counter(part)
-        first = {p: part.index(p) for p in size}
-        ends = [(p, k - first[p], size[p], d, 0, key.encode()) for k, ((key, d), p) in enumerate(zip(line, part))
-                if k - first[p] < suffix_dedup.NEAR or size[p] - (k - first[p]) <= suffix_dedup.NEAR]
-        want = {tuple(sorted((line[i][1], line[j][1]))) for i in range(len(line)) for j in range(i + 1, min(len(line), i + 1 + suffix_dedup.NEAR)) if part[i] != part[j] and line[i][0] == line[j][0]}
-        assert {(a, b) for a, b, _, _ in suffix_dedup._across(ends)} == want
-
-
 def test_near_dedup_star(spark):
     """A base and many edited copies, each linked with the base alone (0.86; two copies have 0.74): no link may go."""
     rng = random.Random(9)
@@ -335,20 +372,17 @@ def test_suffix_passages_with_a_frequent_line(spark):
         passage = f"{text(10)} {line} {text(10)}"
         docs[7 * k] = f"{text(9)} {passage} {text(3)}"
         docs[399 - 7 * k] = f"{text(2)} {passage} {text(8)}"
-    got = {(r["doc_id"], r["start"], r["n_words"], r["other_id"], r["other_start"]) for r in suffix_dedup.passages(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")).collect()}
-    assert got == {x for k in range(20) for a, b in [(7 * k, 399 - 7 * k)] for x in [(a, 9, 50, b, 2), (b, 2, 50, a, 9)]}
+    passages_are_right(spark, list(enumerate(docs)))
 
 
 def test_encoder_takes_any_number_of_lines():
     enc = packing.Encoder(packing.default_tokenizer())
     for t in ["\n".join(f"word{k}" for k in range(5000)), "a\n" * 3000, "x y\n" + "\n".join("ab" for _ in range(3000)) + "\n\nz\nq, r"]:
-        assert enc.encode(t) == enc.direct(t)
+        assert ids_of(enc, [t]) == [enc.direct(t)]
 
 
 def test_wrapped_licences():
     """Notices over several lines, with comment marks; a blank line ends one, and lines around it stay out."""
-    import pyarrow as pa
-
     model = licenses.fit(*licenses.examples(["the cat sat on the mat by the door"] * 200))
     mit = ["# Permission is hereby granted, free of charge, to any person obtaining a copy", "# of this software and associated documentation files (the \"Software\"), to deal", "# in the Software without restriction."]
     bsd = [" * Redistribution and use in source and binary forms, with or without", " * modification, are permitted provided that the following conditions are met:"]
@@ -356,3 +390,92 @@ def test_wrapped_licences():
     got = licenses.find(pa.array(texts), model)
     assert [[x[2] for x in g] for g in got] == [["mit"], ["bsd"], [], [], ["mit", "bsd"]]
     assert got[0][0][:2] == (0, len(texts[0])) and got[1][0][:2] == (3, 3 + len("\n".join(bsd)) + 1)
+
+
+def components_by_brute_force(texts, k, num):
+    sets = {i: {tuple(w[j:j + k]) for j in range(max(1, len(w) - k + 1))} if (w := WORDS.findall(t.lower())) else set() for i, t in texts}
+    code = {x: n for n, x in enumerate(sorted(set().union(*sets.values())))}
+    has = np.zeros((len(sets), len(code)), np.float32)
+    ids = sorted(sets)
+    for r, i in enumerate(ids):
+        has[r, [code[x] for x in sets[i]]] = 1
+    both, size = has @ has.T, has.sum(1)
+    links = np.argwhere(np.triu(100 * both >= num * (size[:, None] + size[None] - both), 1) & (both > 0))
+    root = {i: i for i in ids}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        x, y = find(ids[a]), find(ids[b])
+        root[max(x, y)] = min(x, y)
+    return {i: find(i) for i in ids}, len(links)
+
+
+@pytest.mark.parametrize("swapped", [14, 11])
+def test_near_dedup_crowd(spark, monkeypatch, swapped):
+    """A crowd of variants of one text that are below the limit to each other, with linked pairs inside: no link may go."""
+    monkeypatch.setattr(near_dedup, "CROWD", 64)
+    monkeypatch.setattr(near_dedup, "SLICE", 128)
+    rng = random.Random(swapped)
+    base, docs = [f"w{k}" for k in range(402)], []
+    for i in range(500):
+        w = list(base)
+        for p in rng.sample(range(5, 395, 6), swapped):
+            w[p] = f"c{i}x{p}"
+        near = list(w)
+        for p in rng.sample(range(5, 395, 6), 3):
+            near[p] = f"d{i}x{p}"
+        docs += [" ".join(w), " ".join(near)]
+    rng.shuffle(docs)
+    docs = list(enumerate(docs))
+    want, n = components_by_brute_force(docs, 3, 85)
+    assert 500 <= n
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.link(spark.createDataFrame(docs, "doc_id long, text string"), near_dedup.Limit(3, 85, 100)).collect()}
+    assert got == want
+
+
+def test_near_dedup_with_repeated_ids(spark):
+    rows = [(9, "a b c d e f g h"), (9, "q r s t u v w x y"), (3, "q r s t u v w x y z1"), (None, "a b c d e f g h"), (None, "own words alone here now"), (4, None)]
+    got = near_dedup.link(spark.createDataFrame(rows, "doc_id long, text string"), near_dedup.Limit(3, 85, 100)).collect()
+    assert sorted((r["doc_id"] or 0, r["n_shingles"], r["component_id"] or 0) for r in got) == [(0, 3, 0), (0, 6, 9), (3, 8, 3), (4, 0, 4), (9, 6, 9), (9, 7, 3)]
+
+
+def test_bitmaps_never_differ_more_than_the_sets():
+    rng = np.random.default_rng(13)
+    a = pa.array([" ".join(f"w{k}" for k in rng.integers(0, 300, 400)) for _ in range(40)])
+    values, off, _ = common.shingle_sets(a, 1)
+    sets = [set(values[i:j].tolist()) for i, j in zip(off, off[1:])]
+    bits = np.zeros((40, near_dedup.BITS), np.uint8)
+    for r, s in enumerate(sets):
+        for v in s:
+            bits[r, v >> 53] ^= 1
+    packed = np.packbits(bits, axis=1).view(np.uint64)
+    i, j = np.triu_indices(40, 1)
+    assert (near_dedup._differ(packed, i, j) <= [len(sets[x] ^ sets[y]) for x, y in zip(i, j)]).all()
+
+
+def test_every_family_is_found():
+    """Each notice, alone in a line, wrapped and with comment marks."""
+    model = licenses.fit(*licenses.examples(["the cat sat on the mat by the door"] * 200))
+    want, texts = [], []
+    for family, notices in licenses.TEMPLATES.items():
+        for notice in notices:
+            w = notice.split()
+            texts += [f"Some text.\n{notice}\nMore text.", "\n".join("// " + " ".join(w[k:k + 9]) for k in range(0, len(w), 9))]
+            want += [family] * 2
+    got = [{x[2] for x in g} for g in licenses.find(pa.array(texts), model)]
+    found = [w in g for w, g in zip(want, got)]
+    assert np.mean(found) >= 0.97, [(w, g, t) for w, g, t, f in zip(want, got, texts, found) if not f]
+
+
+def test_overlaps_are_swept():
+    """The spans that are added to a long text don't overlap, and the time grows as its length."""
+    model = pii.train()
+    text = "call (212) 555-0187 or 212.555.0188 and jane [at] mail [dot] com, a@b.example +1 (212) 555-0189; " * 3000
+    base = pii.base_spans(text)
+    more = pii.added_spans([text], [base], model)[0]
+    every = sorted(base + more)
+    assert len(more) >= 3000 and all(m[0] >= b[2] or b[0] >= m[2] for m, b in zip(every, every[1:]) if m in more or b in more)

@@ -27,7 +27,7 @@ def test_stages_keep_what_they_should(spark, sf_dir):
     last = corpus_pipeline.run(spark, sf_dir)
     assert {r["doc_id"] for r in last.select("doc_id").distinct().collect()} == ids
     enc = packing.Encoder(packing.default_tokenizer())
-    assert last.agg({"length": "sum"}).first()[0] == sum(len(enc.direct(texts[i])) // 4 + 1 for i in ids)
+    assert last.agg({"length": "sum"}).first()[0] == sum(len(enc.direct(texts[i])) + 1 for i in ids)
 
 
 def test_copies_go_by_row(spark):
