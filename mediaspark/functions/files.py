@@ -33,6 +33,10 @@ def human_size(size: Column) -> Column:
     return out.otherwise(F.concat(F.bround(value, 1).cast("string"), F.lit("PB")))
 
 
+def basename(path: Column) -> Column:
+    return F.regexp_extract(path, r"(?s)([^/]*)$", 1)
+
+
 def directory(path: Column) -> Column:
     return F.regexp_extract(path, r"(?s)^(.*)/[^/]*$", 1)
 

@@ -122,7 +122,7 @@ def video_metadata(name: Column) -> Column:
     cut = F.when(year.isNotNull(), F.regexp_replace(clean, F.concat(F.lit(r"[.\s]"), year, F.lit(r"[.\s]?.*$")), F.lit(""))).otherwise(clean)
     title = squeeze(F.regexp_replace(cut, r"[._]", " "))
     kind = F.when(name.rlike(r"(?i)s\d{1,2}e\d{1,2}|season|\d{1,2}x\d{1,2}"), "tv").otherwise("movie")
-    ok = name.rlike(P.VIDEO_MARKS) & ~name.rlike(P.SKIP) & (F.length(title) >= 2)
+    ok = name.rlike(P.EXTRACTOR_VIDEO_MARKS) & ~name.rlike(P.SKIP) & (F.length(title) >= 2)
     return F.when(ok, F.struct(kind.alias("type"), title.alias("title"), year.cast("int").alias("year")))
 
 

@@ -6,12 +6,17 @@ from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, StructType
 
 from mediaspark.functions import patterns as P
 from mediaspark.functions import text as T
+from mediaspark.functions.files import nullif_empty
+
+#: Names with a token beyond which a title is looked up by two tokens.
+FREQUENT = 1000
 
 
 def tokens(c: Column) -> Column:
@@ -32,37 +37,71 @@ def query_tokens(title: Column, year: Column, kind: Column, artist: Column) -> C
     return F.when(ok, F.array_distinct(F.transform(F.concat(parts, years, artists), F.lower)))
 
 
-def candidates(titles: DataFrame, names: DataFrame) -> DataFrame:
-    """titles (gt_id, ..., wanted) joined with names (name_id, name, size) that hold all wanted tokens.
+def candidates(titles: DataFrame, names: DataFrame, frequent: int = FREQUENT) -> DataFrame:
+    """titles (gt_id, ..., wanted) joined with names (name_id, name, ...) that hold all wanted tokens.
 
-    The join is on the rarest wanted token alone, so a pair is made once and a frequent word never joins; the
-    rest of the tokens is a filter on the pair.
+    The join is on the rarest wanted token. Where even that is in more than `frequent` names, it is on the two rarest,
+    so a word that many names have is a join key only for a title that wants nothing else. A pair is made once; the rest of
+    the tokens is a filter on the pair.
     """
     have = names.withColumn("_have", tokens(F.col("name")))
-    index = have.select("name_id", "name", "size", "_have", F.explode("_have").alias("token"))
+    index = have.select("name_id", F.explode("_have").alias("token"))
     wanted = titles.select("gt_id", F.explode("wanted").alias("token"))
-    known = wanted.select("token").distinct()
-    frequency = have.select(F.explode("_have").alias("token")).join(known, "token", "left_semi").groupBy("token").agg(F.count("*").alias("n"))
-    rarest = wanted.join(frequency, "token").groupBy("gt_id").agg(F.min(F.struct("n", "token")).alias("_r"), F.count("*").alias("_found"))
-    probe = titles.join(rarest, "gt_id").filter(F.col("_found") == F.size("wanted")).select(titles["*"], F.col("_r.token").alias("token"))
-    return probe.join(index, "token").filter(F.size(F.array_intersect("wanted", "_have")) == F.size("wanted")).drop("token", "_have")
-
-
-def contained_words(title: Column, name: Column) -> Column:
-    """Share of the title's words that are part of a piece of the name; 1 if the whole normal title is in the normal name."""
-    words = F.split(T.normal_title(title), " ")
-    pieces = F.split(F.lower(name), r"[.\-_\s\[\]()]+")
-    hits = F.size(F.filter(words, lambda w: F.exists(pieces, lambda p: F.contains(p, w))))
-    return F.when(F.contains(T.normal_title(name), T.normal_title(title)), F.lit(1.0)).otherwise(hits / F.size(words))
+    frequency = index.join(wanted.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count("*").alias("n"))
+    rarest = wanted.join(frequency, "token").groupBy("gt_id").agg(F.slice(F.array_sort(F.collect_set(F.struct("n", "token"))), 1, 2).alias("_r"), F.count("*").alias("_found"))
+    probe = titles.join(rarest, "gt_id").filter(F.col("_found") == F.size("wanted"))
+    single = (F.get("_r", F.lit(0))["n"] <= frequent) | (F.size("_r") == 1)
+    one = probe.filter(single).select("gt_id", F.get("_r", F.lit(0))["token"].alias("token")).join(index, "token").select("gt_id", "name_id")
+    often = index.join(frequency.filter(F.col("n") > frequent).select("token"), "token", "left_semi").groupBy("name_id").agg(F.array_sort(F.collect_set("token")).alias("_t"))
+    both = F.flatten(F.transform("_t", lambda x: F.transform(F.filter("_t", lambda y: y > x), lambda y: F.concat_ws(" ", x, y))))
+    two = probe.filter(~single).select("gt_id", F.array_join(F.array_sort(F.col("_r.token")), " ").alias("token")).join(often.select("name_id", F.explode(both).alias("token")), "token").select("gt_id", "name_id")
+    found = one.unionByName(two).join(titles, "gt_id").join(have, "name_id")
+    return found.filter(F.size(F.array_intersect("wanted", "_have")) == F.size("wanted")).drop("_have")
 
 
 @F.pandas_udf(DoubleType())
 def sequence_ratio(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """Twice the matched characters over all, by longest matching blocks; not symmetric."""
+    """Twice the matched characters over all, by longest matching blocks; not symmetric. Null counts as empty."""
     for a, b in pairs:
         yield pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b)], dtype="float64")
 
 
+def pieces(name: Column) -> Column:
+    return F.split(F.lower(name), r"[.\-_\s\[\]()]+")
+
+
+def contained_words(title: Column, normal_name: Column, name_pieces: Column) -> Column:
+    """Share of a normal title's words that are part of a piece of the name; 1 if the whole title is in the normal name."""
+    words = F.filter(F.split(title, " "), lambda w: w != "")
+    hits = F.size(F.filter(words, lambda w: F.exists(name_pieces, lambda p: F.contains(p, w))))
+    return F.when(F.contains(normal_name, title), F.lit(1.0)).when(F.size(words) == 0, F.lit(0.0)).otherwise(hits / F.size(words))
+
+
+def with_similarity(rows: DataFrame, *titles: str) -> DataFrame:
+    """rows with <title>_alike: the share of contained words (<title>_share), or the sequence ratio of the title to the beginning of the name (_normal), twice as long as the title, if that is more.
+
+    The ratio is made only of pairs whose title isn't contained whole.
+    """
+    schema = StructType(list(rows.schema.fields))
+    for t in titles:
+        schema = schema.add(f"{t}_alike", DoubleType())
+
+    def run(batches):
+        for batch in batches:
+            column = lambda c: batch.column(batch.schema.get_field_index(c))
+            out = []
+            for t in titles:
+                share = column(f"{t}_share").to_pylist()
+                for k, x in enumerate(share):
+                    if x is not None and x < 1:
+                        title = column(t)[k].as_py()
+                        share[k] = max(x, SequenceMatcher(None, title, column("_normal")[k].as_py()[:2 * len(title)]).ratio())
+                out.append(pa.array(share, pa.float64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *out], schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
 def size_fits(kind: Column, size: Column) -> Column:
     out = None
     for k, (lo, hi) in P.SIZE_RANGES.items():
@@ -70,20 +109,32 @@ def size_fits(kind: Column, size: Column) -> Column:
     return out.otherwise(True)
 
 
-def match_score(kind: Column, title_similarity: Column, artist_similarity: Column, year: Column, name: Column, size: Column) -> Column:
-    """The score of a title and a name, or null where the rules reject the pair. Similarities count above 0.7 only."""
-    audio, video = name.rlike(P.AUDIO_MARKS), name.rlike(P.VIDEO_MARKS)
-    told = T.year_in_name(name)
-    known = year.isNotNull() & (year != 0) & told.isNotNull()
-    off = F.abs(told - year)
-    against = name.rlike(P.NEGATIVE) | ~size_fits(kind, size) | (kind == "album") & video & ~audio | kind.isin("movie", "tv") & audio & ~video
-    against = against | ~(title_similarity > 0.7) | known & (off > 1)
-    artist = F.when((kind == "album") & (artist_similarity > 0.7), artist_similarity * 5).otherwise(0.0)
-    bulk = F.when((kind == "movie") & size.between(700_000_000, 4_000_000_000), 2).when((kind == "movie") & size.between(4_000_000_000, 15_000_000_000), 1)
+def prepared_names(names: DataFrame) -> DataFrame:
+    """names (name_id, name, size) that no rule rejects for every title, with all that the score reads of a name alone."""
+    n = F.col("name")
+    rows = names.filter(~n.rlike(P.NEGATIVE))
+    return rows.select("*", T.normal_title(n).alias("_normal"), pieces(n).alias("_pieces"), n.rlike(P.AUDIO_MARKS).alias("_audio"), n.rlike(P.VIDEO_MARKS).alias("_video"), T.year_in_name(n).alias("_told"))
+
+
+def scored(titles: DataFrame, names: DataFrame) -> DataFrame:
+    """Pairs of titles (gt_id, type, title, artist, year, wanted) and names with their score; those that the rules reject are left out."""
+    titles = titles.select("*", T.normal_title(F.col("title")).alias("_title"), T.normal_title(F.when(F.col("type") == "album", nullif_empty(F.col("artist")))).alias("_artist"))
+    rows = candidates(titles, prepared_names(names))
+    kind, size, off = F.col("type"), F.col("size"), F.abs(F.col("_told") - F.col("year"))
+    known = F.coalesce((F.col("year") != 0) & F.col("_told").isNotNull(), F.lit(False))
+    against = ~size_fits(kind, size) | (kind == "album") & F.col("_video") & ~F.col("_audio") | kind.isin("movie", "tv") & F.col("_audio") & ~F.col("_video") | known & (off > 1)
+    rows = rows.filter(~against)
+    for c in ("_title", "_artist"):
+        rows = rows.withColumn(f"{c}_share", contained_words(F.col(c), F.col("_normal"), F.col("_pieces")))
+    rows = rows.select("gt_id", "type", "title", "year", "name_id", "name", "size", "_normal", "_audio", "_video", "_told", "_title", "_artist", "_title_share", "_artist_share")
+    rows = with_similarity(rows, "_title", "_artist").filter("_title_alike > 0.7")
+    artist = F.when(F.col("_artist_alike") > 0.7, F.col("_artist_alike") * 5).otherwise(0.0)
+    bulk = F.when((kind == "movie") & size.between(700_000_000, 4_000_000_000), 2).when((kind == "movie") & size.between(4_000_000_001, 15_000_000_000), 1)
     bulk = bulk.when((kind == "album") & size.between(50_000_000, 500_000_000), 2).otherwise(0)
-    marked = F.when((kind == "album") & audio | kind.isin("movie", "tv") & video, 3).otherwise(0)
-    total = title_similarity * 10 + F.when(known & (off == 0), 5).when(known & (off == 1), 2).otherwise(0) + artist + bulk + marked
-    return F.when(~F.coalesce(against, F.lit(False)), total)
+    marked = F.when((kind == "album") & F.col("_audio") | kind.isin("movie", "tv") & F.col("_video"), 3).otherwise(0)
+    years = F.when(known & (off == 0), 5).when(known & (off == 1), 2).otherwise(0)
+    score = F.col("_title_alike") * 10 + years + artist + bulk + marked
+    return rows.select("gt_id", "type", "title", "name_id", "name", "size", score.alias("score"))
 
 
 def best_matches(scored: DataFrame, least: float = 8, most: int = 10) -> DataFrame:

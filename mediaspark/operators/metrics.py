@@ -48,3 +48,19 @@ def split(key: Column, seed: str = "42", tenths: int = 1) -> Column:
     """'test' for so many tenths of the keys, else 'train', by the first hexadecimal digits of the draw."""
     bucket = F.conv(F.substring(draw(key, seed), 1, 6), 16, 10).cast("long") % 10
     return F.when(bucket < tenths, "test").otherwise("train")
+
+
+def accuracy(rows: DataFrame, said: str, expected: str, by: str, least: float = 0.9) -> DataFrame:
+    """For each value of by: n, the share of answers that equal what was expected (case and outer spaces aside), and the share that do or are alike by `least`."""
+    from mediaspark.operators.matching import sequence_ratio
+
+    a, b = (F.lower(F.trim(F.coalesce(F.col(c), F.lit("")))) for c in (said, expected))
+    rows = rows.select(by, (a == b).alias("_same"), sequence_ratio(F.when(a != b, a), b).alias("_ratio"))
+    alike = F.col("_same") | F.coalesce(F.col("_ratio") >= least, F.lit(False))
+    return rows.groupBy(by).agg(F.count("*").alias("n"), F.avg(F.col("_same").cast("double")).alias("exact"), F.avg(alike.cast("double")).alias("fuzzy"))
+
+
+def progress(done: Column, all_: Column, seconds: Column) -> tuple[Column, Column]:
+    """(rows a second, seconds that are left at this rate); null before any time or row."""
+    some = (seconds > 0) & (done > 0)
+    return F.when(some, done / seconds), F.when(some, (all_ - done) * (seconds / done))

@@ -61,3 +61,11 @@ def tiebreak(first: Column, second: Column, third: Column) -> tuple[Column, Colu
     same, with_first, with_second = first.eqNullSafe(second), first.eqNullSafe(third), second.eqNullSafe(third)
     pick = lambda a, b, c, d: F.when(same, a).when(with_first, b).when(with_second, c).otherwise(d)
     return pick("agreed", "tiebreaker_first", "tiebreaker_second", "no_consensus"), pick("high", "medium", "medium", "low"), F.when(same | with_first | ~with_second, first).otherwise(second)
+
+
+def next_voter(before: list[Column], own: Column, settled: Column) -> Column:
+    """Whether a further voter is to be asked: all before it have said something, it hasn't, and nothing is settled."""
+    out = own.isNull() & settled.isNull()
+    for c in before:
+        out = out & c.isNotNull()
+    return out

@@ -60,20 +60,42 @@ ANSWERS = """SELECT o_orderkey AS id, CASE o_orderkey % 12 WHEN 0 THEN 'Video' W
   WHEN 10 THEN '' ELSE 'other stuff' END AS answer FROM orders"""
 
 #: Known titles, and names that hold them.
-TITLES = """SELECT p_partkey AS gt_id, CASE p_partkey % 3 WHEN 0 THEN 'movie' WHEN 1 THEN 'tv' ELSE 'album' END AS type, p_name AS title,
-  CASE WHEN p_partkey % 3 = 2 THEN p_brand END AS artist, CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE cast(1990 + p_partkey % 30 AS int) END AS year FROM part WHERE p_size < 10"""
-NAMES = """SELECT l_orderkey * 100000 + l_partkey AS name_id, min(concat(CASE WHEN l_linenumber % 4 = 0 THEN 'The ' ELSE '' END, p_name, ' ', cast(1990 + l_partkey % 31 AS string),
+TITLES = """SELECT p_partkey AS gt_id, CASE p_partkey % 3 WHEN 0 THEN 'movie' WHEN 1 THEN 'tv' ELSE 'album' END AS type, concat('num', cast(p_partkey AS string), ' ', p_name) AS title,
+  CASE WHEN p_partkey % 3 = 2 THEN replace(p_brand, '#', ' ') END AS artist, CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE cast(1990 + p_partkey % 30 AS int) END AS year FROM part"""
+NAMES = """SELECT l_orderkey * 100000 + l_partkey AS name_id, min(concat(CASE WHEN l_linenumber % 4 = 0 THEN 'The ' ELSE '' END, 'num', cast(p_partkey AS string), ' ', p_name, ' ', cast(1990 + (l_partkey % 30 + CASE WHEN l_suppkey % 7 = 0 THEN 1 WHEN l_suppkey % 7 = 1 THEN 5 ELSE 0 END) AS string),
   CASE l_suppkey % 4 WHEN 0 THEN ' 1080p BluRay' WHEN 1 THEN ' FLAC' WHEN 2 THEN ' trailer' ELSE '' END, ' ', p_brand)) AS name, max(cast(l_quantity AS bigint)) * 60000000 AS size
-FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_orderkey % 10 = 0 GROUP BY l_orderkey * 100000 + l_partkey"""
+FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_orderkey * 100000 + l_partkey"""
+
+#: Names of albums in the forms that the versions of the album rules tell apart.
+RELEASES = """SELECT o_orderkey AS id, CASE o_orderkey % 18
+    WHEN 0 THEN concat('[2024.11.22] Some Artist - Album ', cast(o_orderkey % 97 AS string), ' [FLAC]')
+    WHEN 1 THEN concat('Some Artist - Album ', cast(o_orderkey % 97 AS string), ' Night [2024 - 602475686767]')
+    WHEN 2 THEN 'Some Artist - Title (2024 Hip Hop Rap) MP3 320 kbps'
+    WHEN 3 THEN 'Artist - GNX-EICHBAUM'
+    WHEN 4 THEN concat('Artist - Title {XO Republic Records, 0602475872252} (', cast(1960 + o_orderkey % 60 AS string), ')')
+    WHEN 5 THEN 'Artist - Title (with Isolated Vocals) 24Bit-96kHz Hi-Res'
+    WHEN 6 THEN concat('[ OxTorrent.com ] Artist - Title ', cast(1990 + o_orderkey % 30 AS string), ' WEB')
+    WHEN 7 THEN '(R&B Soul) Artist - 1st solo album Name 320 kbps'
+    WHEN 8 THEN concat('[', cast(1980 + o_orderkey % 40 AS string), '] Meteora - Linkin Park - 91mb @ 320kbs')
+    WHEN 9 THEN concat('Artist-Title-2CD-FLAC-', cast(1990 + o_orderkey % 30 AS string), '-JLM')
+    WHEN 10 THEN 'Artist - Title-ESOMA'
+    WHEN 11 THEN 'Artist - Title SO-11601'
+    WHEN 12 THEN 'Artist - Title (by emi) Beats'
+    WHEN 13 THEN concat('🎵 Artist - Title (', cast(1960 + o_orderkey % 60 AS string), ') [FLAC] 🔥')
+    WHEN 14 THEN concat('Artist Name - Album ', cast(o_orderkey AS string), ' (', cast(1960 + o_orderkey % 60 AS string), ') [FLAC].zip')
+    WHEN 15 THEN 'Artist - Title 8P-45'
+    WHEN 16 THEN '[1850] Title - Artist - 91mb @ 320kbs'
+    ELSE 'no dash here V0' END AS name
+FROM orders"""
 
-VIEWS = {"content": CONTENT, "files": FILES, "votes": VOTES, "answers": ANSWERS, "titles": TITLES, "names": NAMES}
+VIEWS = {"releases": RELEASES, "content": CONTENT, "files": FILES, "votes": VOTES, "answers": ANSWERS, "titles": TITLES, "names": NAMES}
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A view's rows; its tables are inlined as reads of sf_dir, so that no session-wide name is set."""
     import re
 
-    sql = re.sub(r"\b(FROM|JOIN) (orders|lineitem|part)\b", lambda m: f"{m[1]} {{{m[2]}}}", VIEWS[name])
+    sql = re.sub(r"\b(FROM|JOIN) (orders|lineitem|part)\b", lambda m: f"{m[1]} {{{m[2]}}}", VIEWS[name].replace("{", "{{").replace("}", "}}"))
     tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("orders", "lineitem", "part") if f"{{{t}}}" in sql}
     return spark.sql(sql, **tables)
 

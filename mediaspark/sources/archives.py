@@ -98,6 +98,15 @@ def read_folder(spark: SparkSession, path: str) -> DataFrame:
     return rows.groupBy(F.lit(PurePosixPath(root).name).alias("name")).agg(F.sort_array(F.collect_list(entry)).alias("files"))
 
 
+def load(spark: SparkSession, path: str) -> DataFrame:
+    """The records of a path: a folder, else the reader of its extension, else a text that holds a name a line."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory():
+        return read_folder(spark, path)
+    kind = spark.range(1).select(loader(F.lit(path))).first()[0]
+    return read_archives(spark, path) if kind != "text" else from_text(spark.read.text(path), "value")
+
+
 def _quoted(text: str) -> str:
     return r"\Q" + text + r"\E"
 
