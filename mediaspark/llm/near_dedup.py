@@ -47,9 +47,9 @@ TREES, DEEP_TREES = 16, 48
 #: Deep trees that are walked at once.
 AT_ONCE = 24
 #: Trees of the first pass; candidates a row names in the first walk, and at most in later ones.
-FIRST_TREES, NEAR, MOST = 3, 8, 512
+FIRST_TREES, NEAR, MOST = 3, 3, 512
 #: Rows of a region beyond which it is crowded; rows of a crowded region that are compared with as many others in one block.
-CROWD, SLICE = 256, 1024
+CROWD, SLICE = 4096, 1024
 #: Regions (16 bytes each) that are broadcast at most.
 BROADCAST_REGIONS = 1_000_000
 #: Pairs that are compared at once.
