@@ -6,8 +6,10 @@ hashed with numpy, and nothing is kept between batches, so memory follows the sl
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +19,8 @@ from pyspark.sql.types import DataType, StructType
 
 #: Bytes of text that the numpy steps hold at once; a longer text is a slice of its own.
 SLICE_BYTES = 2 << 20
+#: Bytes of an Arrow batch that Spark sends to a worker, or one row.
+BATCH_BYTES = 16 << 20
 #: A key with more than 1/HOT_SHARE of all rows is hot; there are fewer than HOT_SHARE such keys.
 HOT_SHARE = 1000
 
@@ -43,13 +47,15 @@ def stage(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key)
-    spark.conf.set(key, "true")
+    own = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES)}
+    before = {key: spark.conf.get(key) for key in own}
     try:
+        for key, value in own.items():
+            spark.conf.set(key, value)
         df.write.parquet(path)
     finally:
-        spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
     p = _path(spark, path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
     return spark.read.schema(df.schema).parquet(path), path
@@ -96,6 +102,27 @@ def crc_mod(column: Column, n: int) -> Column:
     return F.pmod(F.crc32(column.cast("string").cast("binary")), F.lit(n))
 
 
+# -- workers ------------------------------------------------------------------------------------
+
+def tidy(run: Callable) -> Callable:
+    """run for mapInArrow, which gives the memory that it no longer uses back to the machine at its end.
+
+    Spark keeps a worker for the next task, of whatever stage, and what its allocators hold counts against the executor.
+    """
+
+    @functools.wraps(run)
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+            if trim is not None:
+                trim(0)
+
+    return tidied
+
+
 # -- Arrow text ---------------------------------------------------------------------------------
 
 def text_buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mediaspark.llm.common import hot_join, slices, stage, text_buffer
+from mediaspark.llm.common import hot_join, slices, stage, text_buffer, tidy
 
 #: A cut every 2 ** CUT_BITS bytes on average, and after LONGEST bytes without one.
 CUT_BITS, LONGEST = 11, 1 << 16
@@ -68,6 +68,7 @@ def chunks(docs: DataFrame, strong: bool = False) -> DataFrame:
     """(id, chunk) for each chunk, once for each Arrow batch."""
     name = _identifier(strong)
 
+    @tidy
     def run(batches):
         for batch in batches:
             seen: dict[bytes, bytes] = {}
@@ -93,6 +94,7 @@ def recipes(docs: DataFrame, strong: bool = False) -> DataFrame:
     """(doc_id, recipe, text_sha256): the joined identifiers of each document's chunks in order."""
     name, schema = _identifier(strong), pa.schema([("doc_id", pa.int64()), ("recipe", pa.binary()), ("text_sha256", pa.string())])
 
+    @tidy
     def run(batches):
         for batch in batches:
             got = [(b"".join(map(name, parts)), hashlib.sha256(text).hexdigest()) for parts, text in _pieces(batch)]

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mediaspark.llm.common import LOWER, crc_mod, slices, text_buffer, with_fields
+from mediaspark.llm.common import LOWER, crc_mod, slices, text_buffer, tidy, with_fields
 
 #: Window length in bytes, filter widths and filters of each width, embedding size.
 WINDOW, WIDTHS, FILTERS, DEPTH = 256, (3, 4, 5), 16, 8
@@ -159,6 +159,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = [*docs.columns, "lang_pred", "score"]
 
+    @tidy
     def run(batches):
         net = shared.value
         for batch in batches:

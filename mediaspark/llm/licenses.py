@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mediaspark.llm.common import ALNUM, LOWER, gram_hashes, slices, text_buffer, word_hashes, words
+from mediaspark.llm.common import ALNUM, LOWER, gram_hashes, slices, text_buffer, tidy, word_hashes, words
 
 BUCKETS, NEGATIVES, CONFIRM = 1 << 18, 1000, 0.6
 
@@ -284,6 +284,7 @@ def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model or train(docs))
     names = ["doc_id", "n_paragraphs", "n_licensed", "families", "spans", "score"]
 
+    @tidy
     def run(batches):
         net = shared.value
         for batch in batches:

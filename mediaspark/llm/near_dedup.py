@@ -38,7 +38,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mediaspark.llm.common import drop, factors, hot_join, shared_dir, shingle_sets, slices, stage, with_fields
+from mediaspark.llm.common import drop, factors, hot_join, shared_dir, shingle_sets, slices, stage, tidy, with_fields
 from mediaspark.llm.graph import components
 
 VALUES, LEVELS, LEAST, BITS = 192, 6, 2, 2048
@@ -85,6 +85,7 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
     a, b = factors(VALUES, 21), factors(VALUES, 22)
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_id", pa.binary()), ("minhash", pa.binary()), ("bits", pa.binary())])
 
+    @tidy
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
@@ -123,6 +124,7 @@ def neighbours(classes: DataFrame, trees: int, limit: Limit) -> DataFrame:
     rows = rows.repartitionByRange("tree", "path", "id").sortWithinPartitions("tree", "path", "id")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("far", pa.int64())])
 
+    @tidy
     def run(batches):
         last = None
         for batch in batches:
@@ -215,6 +217,7 @@ def walk(rows: DataFrame, members: DataFrame, most: int, limit: Limit) -> DataFr
         got = _best(*map(np.concatenate, zip(*found)), most) if found else [np.zeros(0, np.int64)] * 3
         return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in got], schema=schema)
 
+    @tidy
     def run(batches):
         held: list[list[np.ndarray]] = []
         for batch in batches:
@@ -259,6 +262,7 @@ def packed_texts(docs: DataFrame) -> tuple[DataFrame, str]:
     The one movement of the texts: what joins this table on id later moves only its own rows.
     """
 
+    @tidy
     def run(batches):
         tool = zstandard.ZstdCompressor(level=1)
         for batch in batches:
@@ -290,6 +294,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, limit: Limit) -> DataFrame:
     k, num, den, n, names = limit.k, limit.num, limit.den, len(pairs.columns), [*pairs.columns, "linked"]
     at = [pairs.columns.index(c) for c in "ab"]
 
+    @tidy
     def run(batches):
         tool = zstandard.ZstdDecompressor()
         last: list[tuple] = [(None, None), (None, None)]  # the sets of the row before

@@ -23,11 +23,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mediaspark.llm.common import slices, stage, text_buffer
+from mediaspark.llm.common import slices, stage, text_buffer, tidy
 
 CAPACITY, END = 1024, 2
 #: Bytes of text that are encoded at once; a longer text is encoded alone.
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 2 << 20
 #: Kinds of ASCII bytes for token borders: 1 letters, 2 digits, 3 marks; 0 is white space, apostrophes and all else.
 _KIND = np.zeros(256, np.uint8)
 _KIND[33:127] = 3
@@ -189,6 +189,7 @@ PIECE = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.i
 def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None, keep_ids: bool = False) -> DataFrame:
     """The pieces of each document; nth counts a task's earlier pieces of the same length. ids: the tokens, or null."""
 
+    @tidy
     def run(batches):
         enc, part = encoder(tokenizer or default_tokenizer()), TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)

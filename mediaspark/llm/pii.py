@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mediaspark.llm import boosting
+from mediaspark.llm.common import tidy
 
 KINDS = ("email", "ip", "card", "phone")
 PRECISION = 0.98
@@ -228,6 +229,7 @@ def scan(docs: DataFrame, model: Model | None = None, with_text: bool = False) -
     shared = docs.sparkSession.sparkContext.broadcast(model or train())
     names = ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", *(["redacted"] if with_text else [])]
 
+    @tidy
     def run(batches):
         net = shared.value
         for batch in batches:

@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mediaspark.llm.common import drop, gram_hashes, hot_join, slices, stage
+from mediaspark.llm.common import drop, gram_hashes, hot_join, slices, stage, tidy
 from mediaspark.llm.passages import Words, sliding_min
 
 WINDOW, WIDTH = 20, 8
@@ -53,6 +53,7 @@ def profiles(docs: DataFrame) -> DataFrame:
     """doc, n_words, whole_sha256, sequence (an identifier of the word sequence), anchors (distinct), places (one of each), twice (whether the text has it again)."""
     schema = pa.schema([("doc", pa.int64()), ("n_words", pa.int64()), ("whole_sha256", pa.string()), ("sequence", pa.binary()), ("anchors", pa.list_(pa.int64())), ("places", pa.list_(pa.int32())), ("twice", pa.list_(pa.bool_()))])
 
+    @tidy
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text"):
@@ -91,6 +92,7 @@ def recurring(first: DataFrame) -> DataFrame:
     def emit(doc, place):
         return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(place, pa.int32())], ["doc", "place"])
 
+    @tidy
     def run(batches):
         hold = None  # the rows of the last anchor so far
         head = True
@@ -148,6 +150,7 @@ def candidate_windows(docs: DataFrame, phrases: DataFrame) -> DataFrame:
     """(h1, h2, doc, start) of the windows whose anchor is a located phrase."""
     rows = docs.join(phrases, "doc").select("doc", "text", "places")
 
+    @tidy
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text"):
@@ -171,6 +174,7 @@ def repeats(windows: DataFrame) -> DataFrame:
     spark = windows.sparkSession
     rows = windows.repartitionByRange("h1", "h2", "doc", "start").sortWithinPartitions("h1", "h2", "doc", "start")
 
+    @tidy
     def run(batches):
         part, last, began = TaskContext.get().partitionId(), None, False
         for batch in batches:
@@ -214,6 +218,7 @@ def cut(docs: DataFrame, marked: DataFrame) -> DataFrame:
     """(doc, n_removed, kept_sha256, kept) of the documents with marked windows (doc, starts)."""
     rows = docs.join(marked, "doc").select("doc", "text", "starts")
 
+    @tidy
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text"):

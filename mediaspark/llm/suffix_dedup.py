@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mediaspark.llm.common import drop, gram_hashes, hot_join, slices, stage
+from mediaspark.llm.common import drop, gram_hashes, hot_join, slices, stage, tidy
 from mediaspark.llm.passages import Words
 
 LENGTH, WIDTH, KEY, MOST = 50, 10, 16, 4
@@ -67,6 +67,7 @@ def suffixes(docs: DataFrame) -> DataFrame:
     """doc, n_words, sequence, places and suffixes (KEY hashes of 4 bytes each, joined) of the anchors."""
     schema = pa.schema([("doc", pa.int64()), ("n_words", pa.int64()), ("sequence", pa.binary()), ("places", pa.list_(pa.int32())), ("keys", pa.binary())])
 
+    @tidy
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text"):
@@ -95,6 +96,7 @@ def runs(first: DataFrame) -> DataFrame:
     rows = rows.repartitionByRange("key", "doc", "place").sortWithinPartitions("key", "doc", "place")
     schema = pa.schema([("doc", pa.int64()), ("place", pa.int32()), ("run", pa.int64())])
 
+    @tidy
     def run(batches):
         number = TaskContext.get().partitionId() << 40
         doc, place, key = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros((0, WIDTH), ">u4")  # the last run so far
@@ -137,6 +139,7 @@ def surroundings(docs: DataFrame, at: DataFrame) -> DataFrame:
     schema = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("doc", pa.int64()), ("start", pa.int32()), ("words", pa.binary())])
     reach = WINDOW - WIDTH
 
+    @tidy
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
@@ -182,6 +185,7 @@ def agreement(x: list, y: list) -> int:
 def extended(rows: DataFrame) -> DataFrame:
     """What the members of each short run share around their anchors, from both sides."""
 
+    @tidy
     def run(batches):
         for batch in batches:
             out: list[tuple] = []
@@ -206,6 +210,7 @@ def equal_windows(rows: DataFrame) -> DataFrame:
     spark = rows.sparkSession
     rows = rows.select("h1", "h2", "doc", "start").repartitionByRange("h1", "h2", "doc", "start").sortWithinPartitions("h1", "h2", "doc", "start")
 
+    @tidy
     def run(batches):
         part, last = TaskContext.get().partitionId(), None
         for batch in batches:
@@ -249,6 +254,7 @@ def equal_windows(rows: DataFrame) -> DataFrame:
 def stretches(found: DataFrame) -> DataFrame:
     """found merged, document by document: overlapping and touching stretches are one, which names the other place of its first words."""
 
+    @tidy
     def run(batches):
         for batch in batches:
             size = batch.column(1).value_lengths().to_numpy()

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mediaspark.llm.common import ALNUM, LOWER, crc_mod, slices, text_buffer, with_fields, word_hashes, words
+from mediaspark.llm.common import ALNUM, LOWER, crc_mod, slices, text_buffer, tidy, with_fields, word_hashes, words
 
 #: Hash buckets, embedding size, filter widths and filters of each, bytes of a prefix.
 BUCKETS, DEPTH, WIDTHS, FILTERS, PREFIX = 1 << 15, 12, (1, 2, 3), 12, 5
@@ -210,6 +210,7 @@ def sample(docs: DataFrame, labels: DataFrame, usable: Column, most: int = MOST)
     chosen = docs.sparkSession.createDataFrame(top.collect(), top.schema)  # 2 * most rows at most
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "lang").join(F.broadcast(chosen), "doc_id")
 
+    @tidy
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text"):
@@ -239,6 +240,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = [*docs.columns, "score", "predicted"]
 
+    @tidy
     def run(batches):
         net = shared.value
         for batch in batches:
