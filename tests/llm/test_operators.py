@@ -479,3 +479,19 @@ def test_overlaps_are_swept():
     more = pii.added_spans([text], [base], model)[0]
     every = sorted(base + more)
     assert len(more) >= 3000 and all(m[0] >= b[2] or b[0] >= m[2] for m, b in zip(every, every[1:]) if m in more or b in more)
+
+
+def test_tidy_keeps_what_a_function_gives_and_its_errors():
+    from mediaspark.llm.common import tidy
+
+    @tidy
+    def run(batches):
+        for b in batches:
+            if b < 0:
+                raise ValueError("negative")
+            yield b + 1
+
+    assert list(run(iter([1, 2, 3]))) == [2, 3, 4] and run.__name__ == "run"
+    assert next(run(iter([1, 2]))) == 2  # closed early
+    with pytest.raises(ValueError, match="negative"):
+        list(run(iter([1, -1])))
