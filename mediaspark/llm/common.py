@@ -102,6 +102,21 @@ def crc_mod(column: Column, n: int) -> Column:
     return F.pmod(F.crc32(column.cast("string").cast("binary")), F.lit(n))
 
 
+def distinct_ids(docs: DataFrame) -> bool:
+    """Whether each row of docs has a doc_id of its own."""
+    return docs.groupBy("doc_id").count().filter("doc_id IS NULL OR count > 1").isEmpty()
+
+
+def numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows, each) of docs (doc_id, text) whose doc_ids are missing or repeat: rows is a _key of each row, each has one row of
+    every _key (doc, doc_id, text, n_equal), where doc numbers them by (doc_id, a hash of the row), those without a doc_id first."""
+    name = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit(":"), F.coalesce("text", F.lit("")))
+    rows = docs.withColumn("_key", F.sha2(name, 256))
+    each = rows.groupBy("_key").agg(F.min("doc_id").alias("doc_id"), F.min("text").alias("text"), F.count("*").alias("n_equal"))
+    each = each.orderBy(F.col("doc_id").asc_nulls_first(), "_key").withColumn("doc", F.monotonically_increasing_id())
+    return rows.select("_key"), stage(each, "numbered")[0]
+
+
 # -- workers ------------------------------------------------------------------------------------
 
 def tidy(run: Callable) -> Callable:

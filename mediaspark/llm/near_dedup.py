@@ -38,7 +38,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mediaspark.llm.common import drop, factors, hot_join, shared_dir, shingle_sets, slices, stage, tidy, with_fields
+from mediaspark.llm.common import distinct_ids, drop, factors, hot_join, shared_dir, shingle_sets, slices, stage, tidy, with_fields
 from mediaspark.llm.graph import components
 
 VALUES, LEVELS, LEAST, BITS = 192, 6, 2, 2048
@@ -409,10 +409,6 @@ def _linked(docs: DataFrame, limit: Limit) -> DataFrame:
     return out.select("doc_id", "n_shingles", F.coalesce("_root", "doc_id").alias("component_id"))
 
 
-def _distinct_ids(docs: DataFrame) -> bool:
-    return docs.groupBy("doc_id").count().filter("doc_id IS NULL OR count > 1").isEmpty()
-
-
 def _numbered(docs: DataFrame) -> DataFrame:
     """docs with a number of each row (_row), by doc_id, those without one last."""
     rows = docs.orderBy(F.col("doc_id").asc_nulls_last(), F.sha2("text", 256)).withColumn("_row", F.monotonically_increasing_id())
@@ -422,7 +418,7 @@ def _numbered(docs: DataFrame) -> DataFrame:
 def link(docs: DataFrame, limit: Limit = Limit()) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id of its component), kept (it is that document)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    if _distinct_ids(docs):
+    if distinct_ids(docs):
         out = _linked(docs, limit)
     else:
         rows = _numbered(docs)
@@ -439,7 +435,7 @@ def representatives(docs: DataFrame, limit: Limit = Limit()) -> DataFrame:
 
     Where a doc_id is missing or repeats, rows are numbered in that order and linked by their numbers.
     """
-    if _distinct_ids(docs):
+    if distinct_ids(docs):
         gone, _ = stage(link(docs, limit).filter(~F.col("kept")).select("doc_id"), "near_copies")
         return docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")
     rows = _numbered(docs)

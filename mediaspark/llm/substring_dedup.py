@@ -17,9 +17,9 @@ in the same document.
    (window, document, place) splits any hot window over many tasks.
 5. The marked words are cut out.
 
-Defined results: null text has no words; texts shorter than a window keep all; rows that share a doc_id count
-as one document for the order, and equal rows get equal results; a null doc_id comes before all others; of equal
-windows the first by (doc_id, start) stays; a very long text is a slice of its own; an empty table gives an empty
+Defined results: null text has no words; texts shorter than a window keep all; rows that share a doc_id are
+documents of their own, ordered by a hash of their texts, and equal rows get equal results; a null doc_id comes before
+all others; of equal windows the first by (doc_id, start) stays; a very long text is a slice of its own; an empty table gives an empty
 table. Other columns are not read.
 """
 
@@ -35,12 +35,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mediaspark.llm.common import drop, gram_hashes, hot_join, slices, stage, tidy
+from mediaspark.llm.common import distinct_ids, drop, gram_hashes, hot_join, numbered, slices, stage, tidy
 from mediaspark.llm.passages import Words, sliding_min
 
 WINDOW, WIDTH = 20, 8
-#: Stands for a null doc_id in the order.
-FIRST = -(1 << 63)
 
 
 def _kept(w: Words, doc: int, keep: np.ndarray | None, raw: bytes) -> str:
@@ -158,7 +156,7 @@ def candidate_windows(docs: DataFrame, phrases: DataFrame) -> DataFrame:
                 h, low = w.anchors(WIDTH, WINDOW)
                 own = np.repeat(np.arange(w.n), part.column(2).value_lengths().to_numpy().astype(np.int64))
                 at = w.first[own] + part.column(2).flatten().to_numpy()
-                hit = locate(w, at[at + WIDTH <= w.first[own + 1]])  # rows of one doc may differ in their texts
+                hit = locate(w, at)
                 near = sliding_min(np.where(hit[:len(h)], h, np.uint64(0xFFFFFFFFFFFFFFFF)), WINDOW - WIDTH + 1)
                 at = np.flatnonzero(w.inside(WINDOW) & (near == low))
                 one, two = gram_hashes(w.hash, WINDOW, 61), gram_hashes(w.hash, WINDOW, 62)
@@ -241,8 +239,17 @@ def cut(docs: DataFrame, marked: DataFrame) -> DataFrame:
 
 def dedup(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_sha256."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    if distinct_ids(docs):
+        return _deduped(docs.select(F.col("doc_id").alias("doc"), "text")).withColumnRenamed("doc", "doc_id")
+    rows, each = numbered(docs)
+    out, _ = stage(_deduped(each.select("doc", "text")).join(each.select("_key", "doc", "doc_id", "n_equal"), "doc"), "deduped")
+    return hot_join(rows, out, "_key", "n_equal", rows.count()).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+def _deduped(docs: DataFrame) -> DataFrame:
+    """doc, n_words, n_removed, kept_sha256 of docs (doc, text), whose docs are distinct."""
     spark = docs.sparkSession
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST)).alias("doc"), "text")
     rows, rows_at = stage(profiles(docs), "profiles")
     groups = rows.groupBy("sequence").agg(F.min("doc").alias("first"), F.count("*").alias("n_rows"))
     known, known_at = stage(hot_join(rows, groups, "sequence", "n_rows", rows.count()), "grouped")
@@ -253,10 +260,10 @@ def dedup(docs: DataFrame) -> DataFrame:
     drop(spark, phrases_at)
     marked, _ = stage(repeats(windows).groupBy("doc").agg(F.collect_list("start").alias("starts")), "marked")
     drop(spark, windows_at)
-    done, _ = stage(cut(docs, marked).distinct(), "cut")
+    done, _ = stage(cut(docs, marked), "cut")
     out = known.join(done, "doc", "left")
     none = hashlib.sha256(b"").hexdigest()
     return out.select(
-        F.when(F.col("doc") != FIRST, F.col("doc")).alias("doc_id"), "n_words",
+        "doc", "n_words",
         F.when(copy, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
         F.when(copy, F.lit(none)).otherwise(F.coalesce("cut_sha256", "whole_sha256")).alias("kept_sha256"))
