@@ -20,9 +20,9 @@ Texts of one word sequence are a group: one stands for all and is compared; the
 repeats of it.
 
 Defined results: null text has no words, and texts of fewer than LENGTH words have no rows; a passage may repeat
-within a document (also overlapping itself); of rows that share a doc_id the longest text (then the largest) is
-read; a null doc_id is a document like others, reported as null; of equal candidates for the other place the
-smallest is told; a very long text is a slice of its own, and its suffixes are as many rows; an empty table gives
+within a document (also overlapping itself); rows that share a doc_id, or have none, are documents of their own, but
+rows equal in doc_id and text count as one; a null doc_id is reported as null; of equal candidates for the other place
+the smallest is told; a very long text is a slice of its own, and its suffixes are as many rows; an empty table gives
 an empty table. Other columns are not read.
 """
 
@@ -35,12 +35,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mediaspark.llm.common import drop, gram_hashes, hot_join, slices, stage, tidy
+from mediaspark.llm.common import distinct_ids, drop, gram_hashes, hot_join, numbered, slices, stage, tidy
 from mediaspark.llm.passages import Words
 
 LENGTH, WIDTH, KEY, MOST = 50, 10, 16, 4
 WINDOW = LENGTH
-FIRST = -(1 << 63)
 
 
 def window_anchors(h: np.ndarray, low: np.ndarray, ok: np.ndarray, reach: int) -> np.ndarray:
@@ -275,16 +274,23 @@ def stretches(found: DataFrame) -> DataFrame:
     return lists.mapInArrow(run, _FOUND)
 
 
-def one_text(docs: DataFrame) -> DataFrame:
-    """(doc, text) with one text a doc: the longest, then the largest."""
-    if docs.groupBy("doc").count().filter("count > 1").isEmpty():
-        return docs
-    return docs.groupBy("doc").agg(F.max(F.struct(F.length("text").alias("n"), "text")).alias("_m")).select("doc", "_m.text")
-
-
 def passages(docs: DataFrame) -> DataFrame:
     """doc_id, start and n_words (in words) of each stretch that is covered by repeated windows, and other_id, other_start: a place where its first window occurs again. Documents without one have no row."""
-    docs = one_text(docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST)).alias("doc"), "text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    if distinct_ids(docs):
+        found = _passages(docs.select(F.col("doc_id").alias("doc"), "text")).withColumnsRenamed({"doc": "doc_id", "other": "other_id"})
+    else:
+        _, each = numbered(docs)
+        found, _ = stage(_passages(each.select("doc", "text")), "passages")
+        total = found.count()
+        for c in ("doc", "other"):
+            names = found.groupBy(c).count().join(each.select(F.col("doc").alias(c), F.col("doc_id").alias(f"{c}_id")), c)
+            found = hot_join(found, names, c, "count", total).drop("count")
+    return found.select("doc_id", "start", "n_words", "other_id", "other_start")
+
+
+def _passages(docs: DataFrame) -> DataFrame:
+    """doc, start, n_words, other, other_start of docs (doc, text), whose docs are distinct."""
     rows, rows_at = stage(suffixes(docs), "suffixes")
     groups = rows.groupBy("sequence").agg(F.min("doc").alias("first"), F.count("*").alias("n_rows"))
     known, _ = stage(hot_join(rows.select("doc", "n_words", "sequence"), groups, "sequence", "n_rows", rows.count()).select("doc", "n_words", "first"), "grouped")
@@ -301,6 +307,5 @@ def passages(docs: DataFrame) -> DataFrame:
     found, _ = stage(stretches(extended(around.filter("words IS NOT NULL")).unionByName(windows).unionByName(led)), "stretches")
     drop(docs.sparkSession, around_at)
     whole = copies.select("doc", zero.alias("start"), F.col("n_words").cast("int").alias("n_words"), F.col("first").alias("other"), zero.alias("other_start"))
-    name = lambda c: F.when(F.col(c) != FIRST, F.col(c))
     place = lambda c: F.col(c).cast("long").alias(c)
-    return found.unionByName(whole).select(name("doc").alias("doc_id"), place("start"), place("n_words"), name("other").alias("other_id"), place("other_start"))
+    return found.unionByName(whole).select("doc", place("start"), place("n_words"), "other", place("other_start"))
