@@ -495,3 +495,99 @@ def test_tidy_keeps_what_a_function_gives_and_its_errors():
     assert next(run(iter([1, 2]))) == 2  # closed early
     with pytest.raises(ValueError, match="negative"):
         list(run(iter([1, -1])))
+
+
+ODD = [(1, "a b c d e f g", None, None, None), (1, "a b c d e f g", None, None, None), (None, None, None, None, None), (None, "x", "de", "s", 1), (2, "", "en", None, 0),
+       (3, "\x00 é\n\n \t", "fr", "s", 5), (4, "word " * 2000, "en", "s", 1), (5, "z" * 20_000, "en", "s", 1)]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls, repeated rows, empty and long texts, and columns that operators use themselves."""
+    return spark.createDataFrame([r + (None,) * 4 for r in ODD], DOCS + ", kept boolean, score double, lang_pred string, doc long")
+
+
+def by_text(rows):
+    return sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, *map(str, r[1:])))
+
+
+def test_values_of_an_odd_table(odd):
+    e = hashlib.sha256(b"").hexdigest()
+    exact = [tuple(r)[:4] for r in exact_dedup.groups(odd).collect()]
+    assert by_text(exact) == by_text([(1, 1, 2, True)] * 2 + [(None, 2, 2, False), (2, 2, 2, True), (None, None, 1, True), (3, 3, 1, True), (4, 4, 1, True), (5, 5, 1, True)])
+    words = [tuple(r)[:3] for r in substring_dedup.dedup(odd).collect()]
+    assert by_text(words) == by_text([(1, 7, 0)] * 2 + [(None, 0, 0), (None, 1, 0), (2, 0, 0), (3, 2, 0), (4, 2000, 1999), (5, 1, 0)])
+    near = [tuple(r) for r in near_dedup.link(odd, near_dedup.Limit(3, 85, 100)).collect()]
+    assert by_text(near) == by_text([(1, 5, 1, True)] * 2 + [(None, 0, None, True), (None, 1, None, True), (2, 0, 2, True), (3, 1, 3, True), (4, 1, 4, True), (5, 1, 5, True)])
+    assert [tuple(r)[:4] for r in suffix_dedup.passages(odd).collect()] == [(4, 0, 2000, 4)]
+    spans = pii.scan(odd).collect()
+    assert len(spans) == 8 and all(tuple(r)[1:] == (0, 0, 0, 0, e, "") for r in spans)
+    model = licenses.fit(*licenses.examples(["some plain words of a text"] * 20))
+    found = licenses.scan(odd, model).collect()
+    assert len(found) == 8 and all((r["n_licensed"], r["families"], r["spans"], r["score"]) == (0, "", "", 0.0) for r in found)
+    benchmark = odd.sparkSession.createDataFrame([(1, "a b c d e f g"), (None, None), (3, "")], "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.contained(odd, benchmark).collect()} == {(1, 1)}
+    enc = packing.Encoder(packing.default_tokenizer())
+    want = collections.Counter()
+    for i, t, *_ in ODD:
+        want[i] += len(enc.direct(t or "")) + 1
+    assert {r["doc_id"]: r["n"] for r in packing.pack(odd).groupBy("doc_id").agg({"length": "sum"}).withColumnRenamed("sum(length)", "n").collect()} == dict(want)
+
+
+def test_trained_models_on_an_odd_table(spark, odd):
+    net = language_id.fit([b"some plain english words", b"quelques mots de plus \xc3\xa9"] * 40, ["en", "fr"] * 40)
+    told = {(r["doc_id"], r["text"]): (r["lang_pred"], r["score"]) for r in language_id.predict(odd, net).collect()}
+    assert len(told) == 7 and all((p == "und") == (not t) and 0 <= s <= 1 for (_, t), (p, s) in told.items())
+    assert language_id.predict(odd.limit(0), net).collect() == []
+    docs = [tuple(x for x in toxicity.features(pa.array([t]))[:2]) for t in ["good plain text of words", "vile words of a vile kind"] * 60]
+    model = toxicity.fit(docs, np.array([0.0, 1.0] * 60), ["en"] * 120)
+    got = toxicity.score(odd, model).collect()
+    assert len(got) == 8 and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= toxicity.CUT) for r in got)
+    assert [r["score"] for r in got if not r["text"]] == [0.0, 0.0]
+    assert toxicity.score(odd.limit(0), model).collect() == []
+
+
+def test_learned_from_documents(spark, sf_dir):
+    """Language and toxicity of rows that were not learned from, with the labels of the tables."""
+    sf = sf_dir.replace("sf0.001", "sf0.01")
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang")
+    own = registry.QUERIES["op3_language_id"](spark, sf).filter("held_out").join(rows, "doc_id").filter("lang IS NOT NULL AND lang_pred <> 'und'")
+    assert own.selectExpr("avg(CAST(lang = lang_pred AS INT))").first()[0] >= 0.97
+    sf = sf_dir.replace("sf0.001", "sf0.1")  # sf0.01 has 37 toxic rows to learn from, with which the area is 0.74
+    marks = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic")
+    got = [tuple(r) for r in registry.QUERIES["op8_toxicity"](spark, sf).filter("held_out").join(marks, "doc_id").select("score", "toxic").collect()]
+    bad, good = (np.array([s for s, y in got if y == k]) for k in (1, 0))
+    area = np.mean((bad[:, None] > good[None]) + 0.5 * (bad[:, None] == good[None]))
+    assert len(bad) >= 100 and area >= 0.95
+
+
+SHARED = [" ".join(f"{c}{k}" for k in range(70)) for c in "uvwxy"]
+SHARED_ROWS = [(1, SHARED[0]), (7, SHARED[0] + " tail a"), (7, SHARED[1] + " b"), (7, "short one"), (9, SHARED[1] + " c " + SHARED[0]), (None, SHARED[2]), (None, SHARED[3] + " " + SHARED[2]),
+               (8, SHARED[3]), (8, SHARED[3]), (None, None), (3, SHARED[4]), (3, "q " + SHARED[4]), (6, None)]
+
+
+def in_order(rows):
+    key = lambda r: (r[0] is not None, r[0] or 0, hashlib.sha256(f"{'-' if r[0] is None else r[0]}:{r[1] or ''}".encode()).hexdigest())
+    return sorted(set(rows), key=key)
+
+
+def test_substring_dedup_of_shared_ids(spark):
+    """Rows that share a doc_id, or have none, are documents of their own; equal ones get equal results."""
+    seen, want = set(), {}
+    for i, t in in_order(SHARED_ROWS):
+        w = (t or "").split()
+        gone = [False] * len(w)
+        for s in range(len(w) - 19):
+            if tuple(w[s:s + 20]) in seen:
+                gone[s:s + 20] = [True] * 20
+            seen.add(tuple(w[s:s + 20]))
+        want[i, t] = (i, len(w), sum(gone), hashlib.sha256(" ".join(x for x, g in zip(w, gone) if not g).encode()).hexdigest())
+    got = [tuple(r) for r in substring_dedup.dedup(spark.createDataFrame(SHARED_ROWS, "doc_id long, text string")).collect()]
+    assert by_text(got) == by_text([want[r] for r in SHARED_ROWS])
+
+
+def test_suffix_passages_of_shared_ids(spark):
+    rows = in_order(SHARED_ROWS)
+    stretches, _ = stretches_by_brute_force([(k, t) for k, (_, t) in enumerate(rows)])
+    got = suffix_dedup.passages(spark.createDataFrame(SHARED_ROWS, "doc_id long, text string")).collect()
+    assert by_text([(r["doc_id"], r["start"], r["n_words"]) for r in got]) == by_text([(rows[k][0], s, n) for k, s, n in stretches])

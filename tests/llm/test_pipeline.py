@@ -47,3 +47,27 @@ def test_documents_without_labels_stay(spark):
     rows = [(1, "some words", None), (2, "日本", None), (3, "12 !", None), (4, None, None), (5, "", None)]
     kept = corpus_pipeline.identify_language(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string"), "")
     assert sorted(r["doc_id"] for r in kept.collect()) == [1, 2]
+
+
+def test_odd_tables_pass_through_all_stages(spark, tmp_path):
+    """Nulls, repeated rows, ties, empty and long texts, columns that operators use themselves; then an empty table."""
+    rows = [(1, "a b c d e f g", None), (1, "a b c d e f g", None), (None, None, None), (None, "x", "de"), (2, "", "en"), (3, "\x00 é\n\n \t", "fr"), (4, "word " * 2000, "en"),
+            (5, "z" * 20_000, "en"), (6, "b c d e f g h i", "en"), (6, "other words", "en"), (8, "Other words", "en")]
+    extra = ", kept boolean, score double, lang_pred string, doc long, _row long"
+    spark.createDataFrame([(1, "a b c d e f g"), (None, None), (3, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([r + (None,) * 5 for r in rows], "doc_id long, text string, lang string" + extra).write.parquet(f"{tmp_path}/documents.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r["doc_id"] for r in out} == {None, 3, 4, 5, 6} and len({(r["doc_id"], r["ids_crc32"]) for r in out if r["doc_id"] == 6}) == 2
+    spark.createDataFrame([], "doc_id long, text string, lang string" + extra).write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_near_copies_go(spark, sf_dir):
+    """Of documents that are linked by five-word shingles the smallest doc_id stays, against all pairs."""
+    from test_operators import components_by_brute_force
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").filter("text IS NOT NULL")
+    texts = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
+    want, _ = components_by_brute_force(texts, 5, 80)
+    kept = corpus_pipeline.drop_near_copies(spark, docs, sf_dir)
+    assert {r["doc_id"] for r in kept.select("doc_id").collect()} == {i for i, root in want.items() if i == root}
