@@ -60,6 +60,15 @@ def accuracy(rows: DataFrame, said: str, expected: str, by: str, least: float =
     return rows.groupBy(by).agg(F.count("*").alias("n"), F.avg(F.col("_same").cast("double")).alias("exact"), F.avg(alike.cast("double")).alias("fuzzy"))
 
 
+def seconds_between(start: Column, end: Column) -> Column:
+    """Whole seconds from one time without zone to another, to the nearest (halves to even), whatever the session's time zone.
+
+    Both are taken as doubles of seconds since 1970 and subtracted then, as SQL's extract(epoch) does it."""
+    since = lambda t: (t - F.expr("timestamp_ntz'1970-01-01'")).cast("interval second").cast("decimal(20,6)")
+    epoch = lambda t: (since(t.cast("timestamp_ntz")) * 1_000_000).cast("long").cast("double") / 1e6
+    return F.rint(epoch(end) - epoch(start)).cast("long")
+
+
 def progress(done: Column, all_: Column, seconds: Column) -> tuple[Column, Column]:
     """(rows a second, seconds that are left at this rate); null before any time or row."""
     some = (seconds > 0) & (done > 0)

@@ -226,7 +226,7 @@ def a23_regression(spark, sf_dir):
 SELECT event_type, n, elapsed, CASE WHEN elapsed > 0 THEN round(n::DOUBLE / elapsed, 6) END AS rate, CASE WHEN elapsed > 0 THEN round((1000000 - n) * (elapsed::DOUBLE / n), 1) END AS eta FROM r""")
 def a21_rate_and_eta(spark, sf_dir):
     rows = _table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.max("ts").alias("_b"), F.min("ts").alias("_a"))
-    elapsed = F.unix_timestamp(F.col("_b").cast("timestamp")) - F.unix_timestamp(F.col("_a").cast("timestamp"))
-    rows = rows.select("event_type", "n", elapsed.alias("elapsed"))
+    rows = rows.select("event_type", "n", metrics.seconds_between(F.col("_a"), F.col("_b")).alias("elapsed"))
     rate, eta = metrics.progress(F.col("n"), F.lit(1_000_000), F.col("elapsed"))
-    return rows.select("event_type", "n", "elapsed", F.round(rate, 6).alias("rate"), F.round(eta, 1).alias("eta"))
+    near = lambda c, k: F.round(c * k) / k  # noqa: E731  (the SQL rounds the double times k; F.round its decimal text, which differs at ties)
+    return rows.select("event_type", "n", "elapsed", near(rate, 1e6).alias("rate"), near(eta, 10.0).alias("eta"))
