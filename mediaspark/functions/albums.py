@@ -95,33 +95,54 @@ def around(pattern: str) -> str:
 
 def _year(c: Column, forms: list) -> Column:
     """struct(year, rest): the first of the further forms whose year is within its bounds, else a plain year."""
-    found = []
-    for pattern, least, most in forms:
-        year = nullif_empty(F.regexp_extract(c, around(pattern), 2)).cast("int")
-        rest = F.concat(F.regexp_extract(c, around(pattern), 1), F.regexp_extract(c, around(pattern), 3))
-        found.append(F.when(year.between(least, most), F.struct(year.alias("year"), rest.alias("rest"))))
-    return F.coalesce(*found, T.split_year(c))
 
+    def taken(c: Column) -> Column:
+        found = []
+        for pattern, least, most in forms:
+            year = nullif_empty(F.regexp_extract(c, around(pattern), 2)).cast("int")
+            rest = F.concat(F.regexp_extract(c, around(pattern), 1), F.regexp_extract(c, around(pattern), 3))
+            found.append(T.once(year, lambda y: F.when(y.between(least, most), F.struct(y.alias("year"), rest.alias("rest")))))
+        return F.coalesce(*found, T.split_year(c))
 
-def _split(c: Column, year: Column) -> Column:
-    artist, title = (T.strip(nullif_empty(F.regexp_extract(c, P.ARTIST_TITLE, k))) for k in (1, 2))
-    return F.struct(artist.alias("artist"), _replaced(title, [(p, "") for p in P.TITLE_ENDS]).alias("title"), year.alias("year"))
+    return T.once(c, taken)
 
 
 def _title_first(clean: Column) -> Column:
     """What version 5 makes of a name that begins with a year in brackets and ends with a size and a rate; null for others."""
-    part = lambda k: F.regexp_extract(clean, TITLE_FIRST, k)
-    year, title = nullif_empty(part(1)).cast("int"), T.strip(part(2))
-    artist = T.strip(_replaced(T.strip(part(3)), [(p, "") for p in ARTIST_ENDS_5]))
-    ok = year.between(1900, 2030) & (title != "") & (F.length(artist) > 1)
-    return F.when(ok, F.struct(artist.alias("artist"), title.alias("title"), year.alias("year")))
+
+    def parts(clean: Column) -> Column:
+        part = lambda k: F.regexp_extract(clean, TITLE_FIRST, k)
+        artist = T.strip(_replaced(T.strip(part(3)), [(p, "") for p in ARTIST_ENDS_5]))
+        return F.struct(artist.alias("artist"), T.strip(part(2)).alias("title"), nullif_empty(part(1)).cast("int").alias("year"))
+
+    ok = lambda p: F.when(p["year"].between(1900, 2030) & (p["title"] != "") & (F.length(p["artist"]) > 1), p)
+    return T.once(clean, lambda c: F.when(c.rlike(TITLE_FIRST), T.once(parts(c), ok)))
+
+
+def _steps(clean: Column, version: int) -> Column:
+    """struct(artist, title, year) of a clean name by a version that is a list of steps."""
+    before, years, after = STEPS.get(version, STEPS[1])
+    split = lambda taken: T.once(T.squeeze(_replaced(taken["rest"], after)), lambda n: T.split_artist(n, taken["year"]))
+    return T.once(_year(_replaced(clean, before), years), split)
 
 
 def album(name: Column, version: int = LATEST) -> Column:
     """struct(artist, title, year) by the rules of a version; an unknown version is the first."""
-    clean = T.clean_name(name)
-    if version == LATEST:
-        return F.coalesce(_title_first(F.regexp_replace(clean, EMOJI_5, "")), album(name, LATEST - 1))
-    before, years, after = STEPS.get(version, STEPS[1])
-    taken = _year(_replaced(clean, before), years)
-    return _split(T.squeeze(_replaced(taken["rest"], after)), taken["year"])
+    if version != LATEST:
+        return _steps(T.clean_name(name), version)
+    return T.once(T.clean_name(name), lambda c: F.coalesce(_title_first(F.regexp_replace(c, EMOJI_5, "")), _steps(c, LATEST - 1)))
+
+
+def albums(name: Column, versions: list[int]) -> Column:
+    """array<struct(version, artist, title, year)> by each of those versions, in that order; what two of them share is made once."""
+    known = lambda v: v if v in STEPS or v == LATEST else 1
+    plain = sorted({LATEST - 1 if known(v) == LATEST else known(v) for v in versions})
+
+    def every(clean: Column) -> Column:
+        def numbered(made: Column) -> Column:
+            one = lambda v: F.coalesce(_title_first(F.regexp_replace(clean, EMOJI_5, "")), one(LATEST - 1)) if v == LATEST else F.get(made, F.lit(plain.index(v)))
+            return F.array(*[T.once(one(known(v)), lambda p: F.struct(F.lit(v).alias("version"), p["artist"].alias("artist"), p["title"].alias("title"), p["year"].alias("year"))) for v in versions])
+
+        return T.once(F.array(*[_steps(clean, v) for v in plain]), numbered)
+
+    return T.once(T.clean_name(name), every)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,6 +11,11 @@ from mediaspark.functions import patterns as P
 from mediaspark.functions.files import nullif_empty
 
 
+def once(c: Column, use: Callable[[Column], Column]) -> Column:
+    """use(c), with c computed a single time a row however often use reads it; columns that are built on columns double otherwise."""
+    return F.get(F.transform(F.array(c), use), F.lit(0))
+
+
 def squeeze(c: Column) -> Column:
     """Runs of white space as one space, none at the ends."""
     return F.trim(F.regexp_replace(c, r"\s+", " "))
@@ -52,13 +59,16 @@ def year_in_name(c: Column) -> Column:
 
 def split_year(c: Column) -> Column:
     """struct(year, rest): the first year 1900..2030 in round brackets, else in square ones, else between separators, and the text without it."""
-    found = None
-    for pattern in P.YEAR_FORMS:
-        year = nullif_empty(F.regexp_extract(c, pattern, 2)).cast("int")
-        rest = strip(F.concat(F.regexp_extract(c, pattern, 1), F.regexp_extract(c, pattern, 3)))
-        one = F.when(year.between(1900, 2030), F.struct(year.alias("year"), rest.alias("rest")))
-        found = one if found is None else F.coalesce(found, one)
-    return F.coalesce(found, F.struct(F.lit(None).cast("int").alias("year"), c.alias("rest")))
+
+    def found(c: Column) -> Column:
+        forms = []
+        for pattern in P.YEAR_FORMS:
+            year = nullif_empty(F.regexp_extract(c, pattern, 2)).cast("int")
+            rest = strip(F.concat(F.regexp_extract(c, pattern, 1), F.regexp_extract(c, pattern, 3)))
+            forms.append(once(year, lambda y: F.when(y.between(1900, 2030), F.struct(y.alias("year"), rest.alias("rest")))))
+        return F.coalesce(*forms, F.struct(F.lit(None).cast("int").alias("year"), c.alias("rest")))
+
+    return once(c, found)
 
 
 def video_subtype(name: Column) -> Column:
@@ -139,17 +149,24 @@ def audio_metadata(name: Column) -> Column:
     return F.when(ok, F.struct(artist.alias("artist"), album.alias("title"), year.cast("int").alias("year")))
 
 
-def album_parts(name: Column) -> Column:
-    """struct(artist, title, year) of an album's name by the basic rules: clean, take the year, drop formats, sources and groups, split at the first dash."""
-    taken = split_year(clean_name(name))
-    n = taken["rest"]
-    for pattern in P.ALBUM_NOISE:
-        n = F.regexp_replace(n, pattern, "")
-    n = squeeze(n)
+def split_artist(n: Column, year: Column) -> Column:
+    """struct(artist, title, year) of a text that is split at its first dash."""
     artist, title = (strip(nullif_empty(F.regexp_extract(n, P.ARTIST_TITLE, k))) for k in (1, 2))
     for pattern in P.TITLE_ENDS:
         title = F.regexp_replace(title, pattern, "")
-    return F.struct(artist.alias("artist"), title.alias("title"), taken["year"].alias("year"))
+    return F.struct(artist.alias("artist"), title.alias("title"), year.alias("year"))
+
+
+def album_parts(name: Column) -> Column:
+    """struct(artist, title, year) of an album's name by the basic rules: clean, take the year, drop formats, sources and groups, split at the first dash."""
+
+    def parts(taken: Column) -> Column:
+        n = taken["rest"]
+        for pattern in P.ALBUM_NOISE:
+            n = F.regexp_replace(n, pattern, "")
+        return once(squeeze(n), lambda n: split_artist(n, taken["year"]))
+
+    return once(split_year(clean_name(name)), parts)
 
 
 def truncate_answer(answer: Column, fields: Column, name: Column) -> Column:

@@ -98,3 +98,17 @@ def test_command_line(spark, tmp_path):
     assert run(["--detect-nsfw"], " Some XXX video \n")[1][0]["nsfw"] is True
     assert run([], "  ") == (1, [])
     assert [[x["medium"] for x in line] for line in run(["-i"], '["Movie.2020.1080p.BluRay.x264", "?"]\nbroken\n')[1]] == [["video", "other"]]
+
+
+def test_album_rules_are_computed_once(spark):
+    """The plan holds each pattern a few times, not once for every way to reach it, and all versions at once are what each says alone."""
+    rows = spark.createDataFrame([(c[0],) for c in CASES] + [(None,), ("",), ("[2003] - @ 320",), ("♪ [1999] A - B - 9mb @ 128kbs",)], "name string")
+    name = F.col("name")
+    for version in range(1, 6):
+        one = rows.select(albums.album(name, version).alias("p")).select("p.artist", "p.title", "p.year")
+        assert one._jdf.queryExecution().optimizedPlan().toString().count("regexp_") < 150, version
+    every = rows.select("name", F.explode(albums.albums(name, [*range(1, 7)])).alias("p")).select("name", "p.*")
+    got = {(r["name"], r["version"]): tuple(r)[2:] for r in every.collect()}
+    for version in range(1, 7):
+        for r in rows.select("name", albums.album(name, version).alias("p")).collect():
+            assert got[r["name"], version] == (tuple(r["p"]) if r["p"] else (None,) * 3), (r["name"], version)
