@@ -21,20 +21,20 @@ FREQUENT = 1000
 
 def tokens(c: Column) -> Column:
     """The distinct tokens of the full-text index: lower-cased runs of letters and digits."""
-    return F.array_distinct(F.filter(F.split(F.lower(c), r"[^0-9a-z]+"), lambda t: t != ""))
+    return F.array_distinct(F.array_remove(F.split(F.lower(c), r"[^0-9a-z]+"), ""))
 
 
 def query_tokens(title: Column, year: Column, kind: Column, artist: Column) -> Column:
     """The tokens that a name must hold for a title; null for titles that are too short or only digits."""
-    words = F.split(T.squeeze(title), " ")
-    short = F.filter(words, lambda w: F.length(w) > 2)
-    long = F.slice(F.filter(words, lambda w: F.length(w) > 3), 1, 4)
-    parts = F.when(F.size(words) <= 3, short).otherwise(long)
     none = F.array().cast("array<string>")
+
+    def parts(words: Column) -> Column:
+        return F.when(F.size(words) <= 3, F.filter(words, lambda w: F.length(w) > 2)).otherwise(F.slice(F.filter(words, lambda w: F.length(w) > 3), 1, 4))
+
     years = F.when(year.isNotNull() & (year != 0), F.array(year.cast("string"))).otherwise(none)
     artists = F.when((kind == "album") & (F.coalesce(artist, F.lit("")) != ""), F.slice(F.filter(F.split(T.squeeze(artist), " "), lambda w: F.length(w) > 2), 1, 2)).otherwise(none)
-    ok = (F.length(title) >= 3) & ~title.rlike(r"^[0-9]+$") & (F.size(parts) > 0)
-    return F.when(ok, F.array_distinct(F.transform(F.concat(parts, years, artists), F.lower)))
+    made = T.once(T.once(F.split(T.squeeze(title), " "), parts), lambda p: F.when(F.size(p) > 0, F.array_distinct(F.transform(F.concat(p, years, artists), F.lower))))
+    return F.when((F.length(title) >= 3) & ~title.rlike(r"^[0-9]+$"), made)
 
 
 def candidates(titles: DataFrame, names: DataFrame, frequent: int = FREQUENT) -> DataFrame:
@@ -42,21 +42,30 @@ def candidates(titles: DataFrame, names: DataFrame, frequent: int = FREQUENT) ->
 
     The join is on the rarest wanted token. Where even that is in more than `frequent` names, it is on the two rarest,
     so a word that many names have is a join key only for a title that wants nothing else. A pair is made once; the rest of
-    the tokens is a filter on the pair.
+    the tokens is a filter on the pair. Tokens are counted where the names lie, and those of more than `frequent` names, of
+    which there are few, are told apart there too: only for the others is a name shuffled.
     """
-    have = names.withColumn("_have", tokens(F.col("name")))
-    index = have.select("name_id", F.explode("_have").alias("token"))
-    wanted = titles.select("gt_id", F.explode("wanted").alias("token"))
-    frequency = index.join(wanted.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count("*").alias("n"))
-    rarest = wanted.join(frequency, "token").groupBy("gt_id").agg(F.slice(F.array_sort(F.collect_set(F.struct("n", "token"))), 1, 2).alias("_r"), F.count("*").alias("_found"))
-    probe = titles.join(rarest, "gt_id").filter(F.col("_found") == F.size("wanted"))
-    single = (F.get("_r", F.lit(0))["n"] <= frequent) | (F.size("_r") == 1)
-    one = probe.filter(single).select("gt_id", F.get("_r", F.lit(0))["token"].alias("token")).join(index, "token").select("gt_id", "name_id")
-    often = index.join(frequency.filter(F.col("n") > frequent).select("token"), "token", "left_semi").groupBy("name_id").agg(F.array_sort(F.collect_set("token")).alias("_t"))
+    names = names.filter("name_id IS NOT NULL")  # for all branches, so that they read one shuffle of the names
+    index = names.withColumn("token", F.explode_outer(tokens(F.col("name")))).filter("token IS NOT NULL")  # an inner explode is planned with a filter that splits the name again
+    frequency = index.groupBy("token").agg(F.count("*").alias("n"))
+    each = titles.select("gt_id", "wanted", F.explode_outer("wanted").alias("token")).hint("merge").join(frequency, "token")
+    rarest = each.groupBy("gt_id", "wanted").agg(F.array_sort(F.collect_set(F.struct("n", "token"))).alias("_r"), F.count("*").alias("_rows"))
+    first, second = (F.get("_r", F.lit(k)) for k in (0, 1))
+    single = (first["n"] <= frequent) | (F.size("_r") == 1)
+    probe = rarest.filter(F.size("_r") == F.size("wanted")).select("gt_id", "wanted", (F.col("_rows") / F.size("_r")).cast("int").alias("_copies"), single.alias("_single"), first["token"].alias("token"), second["token"].alias("_other"))
+    alone, two = probe.filter("_single").drop("_single", "_other"), probe.filter("NOT _single").drop("_single")
+    often = frequency.filter(F.col("n") > frequent).select("token").join(alone.select("token").distinct().hint("merge"), "token", "left_anti")
+    one = index.join(F.broadcast(often), "token", "left_anti").join(alone.hint("merge"), "token").drop("token")
+    of_two = two.select(F.explode(F.array("token", "_other")).alias("token")).distinct()
+    held = index.select("name_id", "token").join(F.broadcast(of_two), "token", "left_semi").groupBy("name_id").agg(F.array_sort(F.collect_set("token")).alias("_t"))
     both = F.flatten(F.transform("_t", lambda x: F.transform(F.filter("_t", lambda y: y > x), lambda y: F.concat_ws(" ", x, y))))
-    two = probe.filter(~single).select("gt_id", F.array_join(F.array_sort(F.col("_r.token")), " ").alias("token")).join(often.select("name_id", F.explode(both).alias("token")), "token").select("gt_id", "name_id")
-    found = one.unionByName(two).join(titles, "gt_id").join(have, "name_id")
-    return found.filter(F.size(F.array_intersect("wanted", "_have")) == F.size("wanted")).drop("_have")
+    pair = F.concat_ws(" ", F.least("token", "_other"), F.greatest("token", "_other"))
+    by_two = two.withColumn("token", pair).drop("_other").join(held.select("name_id", F.explode(both).alias("token")), "token").drop("token").join(names, "name_id")
+    near = F.forall("wanted", lambda t: F.contains(F.lower("name"), t))  # cheap, and few pairs are left to be split
+    found = one.unionByName(by_two).filter(near & (F.size(F.array_intersect("wanted", tokens(F.col("name")))) == F.size("wanted")))
+    if set(titles.columns) == {"gt_id", "wanted"}:
+        return found.withColumn("_copies", F.explode(F.sequence(F.lit(1), "_copies"))).drop("_copies")
+    return found.drop("_copies").join(titles.hint("merge"), ["gt_id", "wanted"])
 
 
 @F.pandas_udf(DoubleType())
@@ -109,17 +118,16 @@ def size_fits(kind: Column, size: Column) -> Column:
     return out.otherwise(True)
 
 
-def prepared_names(names: DataFrame) -> DataFrame:
-    """names (name_id, name, size) that no rule rejects for every title, with all that the score reads of a name alone."""
+def prepared(pairs: DataFrame) -> DataFrame:
+    """pairs (title, type, artist, name, ...) with all that the score reads of the name or the title alone."""
     n = F.col("name")
-    rows = names.filter(~n.rlike(P.NEGATIVE))
-    return rows.select("*", T.normal_title(n).alias("_normal"), pieces(n).alias("_pieces"), n.rlike(P.AUDIO_MARKS).alias("_audio"), n.rlike(P.VIDEO_MARKS).alias("_video"), T.year_in_name(n).alias("_told"))
+    rows = pairs.select("*", T.normal_title(n).alias("_normal"), pieces(n).alias("_pieces"), n.rlike(P.AUDIO_MARKS).alias("_audio"), n.rlike(P.VIDEO_MARKS).alias("_video"), T.year_in_name(n).alias("_told"))
+    return rows.select("*", T.normal_title(F.col("title")).alias("_title"), T.normal_title(F.when(F.col("type") == "album", nullif_empty(F.col("artist")))).alias("_artist"))
 
 
 def scored(titles: DataFrame, names: DataFrame) -> DataFrame:
     """Pairs of titles (gt_id, type, title, artist, year, wanted) and names with their score; those that the rules reject are left out."""
-    titles = titles.select("*", T.normal_title(F.col("title")).alias("_title"), T.normal_title(F.when(F.col("type") == "album", nullif_empty(F.col("artist")))).alias("_artist"))
-    rows = candidates(titles, prepared_names(names))
+    rows = prepared(candidates(titles.select("gt_id", "type", "title", "artist", "year", "wanted"), names.select("name_id", "name", "size").filter(~F.col("name").rlike(P.NEGATIVE))))
     kind, size, off = F.col("type"), F.col("size"), F.abs(F.col("_told") - F.col("year"))
     known = F.coalesce((F.col("year") != 0) & F.col("_told").isNotNull(), F.lit(False))
     against = ~size_fits(kind, size) | (kind == "album") & F.col("_video") & ~F.col("_audio") | kind.isin("movie", "tv") & F.col("_audio") & ~F.col("_video") | known & (off > 1)

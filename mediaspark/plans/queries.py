@@ -323,12 +323,12 @@ t AS (SELECT gt_id, type, title, artist, year, h.name_id, name, size FROM k JOIN
 
 def _titles(spark, sf_dir) -> DataFrame:
     rows = view(spark, sf_dir, "titles")
-    return rows.withColumn("wanted", matching.query_tokens(F.col("title"), F.col("year"), F.col("type"), F.col("artist"))).filter("wanted IS NOT NULL")
+    return rows.withColumn("wanted", matching.query_tokens(F.col("title"), F.col("year"), F.col("type"), F.col("artist")))
 
 
 @query(f"WITH {_CAND} SELECT gt_id, count(*) AS n, min(name_id) AS first_id FROM t GROUP BY gt_id", "titles", "names")
 def s12_token_candidates(spark, sf_dir):
-    rows = matching.candidates(_titles(spark, sf_dir), view(spark, sf_dir, "names").withColumn("size", F.col("size").cast("long")))
+    rows = matching.candidates(_titles(spark, sf_dir).select("gt_id", "wanted"), view(spark, sf_dir, "names").select("name_id", "name"))
     return rows.groupBy("gt_id").agg(F.count("*").alias("n"), F.min("name_id").alias("first_id"))
 
 

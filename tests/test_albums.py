@@ -112,3 +112,14 @@ def test_album_rules_are_computed_once(spark):
     for version in range(1, 7):
         for r in rows.select("name", albums.album(name, version).alias("p")).collect():
             assert got[r["name"], version] == (tuple(r["p"]) if r["p"] else (None,) * 3), (r["name"], version)
+
+
+def test_candidates_of_repeated_titles(spark):
+    """Rows that share a gt_id are titles of their own, equal ones included; a name without tokens or null is none's candidate."""
+    names = spark.createDataFrame([(1, "red blue"), (2, "Red green"), (3, "--"), (4, None), (None, "red green blue")], "name_id long, name string")
+    titles = [(1, ["red", "blue"], "a"), (1, ["red", "green"], "b"), (1, ["red", "green"], "b"), (2, ["green", "re"], "c"), (3, None, "d")]
+    for frequent in (0, 1, 9):
+        rows = matching.candidates(spark.createDataFrame([t[:2] for t in titles], "gt_id long, wanted array<string>"), names, frequent)
+        assert sorted((r["gt_id"], r["name_id"]) for r in rows.collect()) == [(1, 1), (1, 2), (1, 2)]
+    rows = matching.candidates(spark.createDataFrame(titles[:2], "gt_id long, wanted array<string>, title string"), names)
+    assert sorted((r["title"], r["name_id"], r["name"]) for r in rows.collect()) == [("a", 1, "red blue"), ("b", 2, "Red green")]
