@@ -47,17 +47,18 @@ def best_of_catalogue(wanted: DataFrame, catalogue: DataFrame) -> DataFrame:
 
     Tried in turn: the same album name; names that begin alike; the same artist. A score of ACCEPT_EARLY ends
     the search, so later strategies see only those that are still open. Each is an equi-join; the second on the
-    first PREFIX characters.
+    first PREFIX characters. All are merge joins: the size of a compressed table says little of its rows, and broadcasts
+    of such tables go through the driver.
     """
     w = wanted.withColumn("_p", F.substring("q_album", 1, PREFIX))
     c = catalogue.withColumn("_p", F.substring("album", 1, PREFIX))
     best, open_ = None, w
     for k, on in enumerate((F.col("q_album") == F.col("album"), None, F.col("q_artist") == F.col("artist")), 1):
-        pairs = open_.join(c, "_p") if on is None else open_.drop("_p").join(catalogue, on)
+        pairs = open_.join(c.hint("merge"), "_p") if on is None else open_.drop("_p").join(catalogue.hint("merge"), on)
         found = _scored(pairs.drop("_p"), k)
         best = found if best is None else best.unionByName(found)
         sure = found.filter(F.col("score") >= ACCEPT_EARLY).select("q_id").distinct()
-        open_ = open_.join(sure, "q_id", "left_anti")
+        open_ = open_.join(sure.hint("merge"), "q_id", "left_anti")
     first = Window.partitionBy("q_id").orderBy(F.desc("score"), "strategy", "album_id")
     return best.withColumn("_n", F.row_number().over(first)).filter((F.col("_n") == 1) & (F.col("score") > ACCEPT)).drop("_n")
 

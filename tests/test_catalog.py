@@ -45,3 +45,11 @@ def test_records(spark, tmp_path):
     assert [tuple(r) for r in raw.select(records.lossy_text(F.col("r")), records.strict_text(F.col("r"))).collect()] == [("ok", "ok"), ("�!", None)]
     (tmp_path / "r.md").write_text("# Report\n\n### Sample 1\nfirst\nbody\n### Sample 12 extra\nsecond\n")
     assert [tuple(r) for r in records.read_sections(spark, str(tmp_path / "r.md")).collect()] == [(1, "first\nbody"), (12, "second")]
+
+
+def test_catalogue_is_not_broadcast(spark):
+    """Tables of unknown rows go to no driver: small as they look, all joins of the search are planned as merge joins."""
+    known = spark.createDataFrame([(1, "Miles Davis", "Kind of Blue", 1959)], "album_id long, artist string, album string, year int")
+    wanted = spark.createDataFrame([(1, "Miles Davis", "Kind of Blue", 1959)], "q_id long, q_artist string, q_album string, q_year int")
+    plan = catalog.best_of_catalogue(wanted.limit(1), known.limit(1))._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
